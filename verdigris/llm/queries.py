@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 OPERATORS = {
+    "op1_suffix_array_dedup": "suffix_array",
+    "op3_quality_classifier": "quality",
+    "op4_hilbert_packing": "packing",
     "op5_minhash_near_dedup": "minhash",
 }
 
