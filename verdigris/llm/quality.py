@@ -22,7 +22,9 @@ SLOTS = 1 << 12
 #: Bound of the sample that the scorer is trained on: the documents with the smallest hashes of doc_id and text.
 TRAIN_DOCUMENTS = 3000
 THRESHOLD = 0.5
-LABELLERS = ("symbols", "capitals", "repetition", "sentences", "word_length", "bars", "vocabulary")
+LABELLERS = ("symbols", "capitals", "repetition", "sentences", "word_length", "bars", "vocabulary", "letters", "plain", "stutter")
+#: A labeller is taken to accuse no more than this share of good documents.
+ACCUSED = 0.01
 
 _CODE = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 other mark, 6 bar, 7 space
 _CODE[ord("a") : ord("z") + 1] = 1
@@ -62,6 +64,8 @@ def measures(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     gram_row = np.repeat(np.arange(n), grams)
     gram_at = np.repeat(at[:-1], grams) + ranges(grams)
     letters = np.maximum(code[:, 1] + code[:, 2], 1)
+    mark = np.append(0, np.cumsum((_CODE[buf] == 5) | (_CODE[buf] == 6)))
+    same = np.append(False, (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])) if len(h) else np.zeros(0, bool)
     return {
         "symbols": code[:, 5] / length,
         "upper": code[:, 2] / letters,
@@ -70,6 +74,9 @@ def measures(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         "mean_word": np.bincount(owner, end - start, n) / words,
         "bars": code[:, 6] / words,
         "distinct": 1 - repeated(h, owner, np.ones(len(h))),
+        "letters": (code[:, 1] + code[:, 2]) / np.maximum(length - code[:, 7], 1),
+        "plain": 1 - np.bincount(owner, mark[end] > mark[start], n) / words,
+        "stutter": np.bincount(owner, same, n) / words,
         "words": np.diff(at),
     }
 
@@ -91,26 +98,32 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
             rule((m["mean_word"] > 14) | (m["mean_word"] < 2.2), (m["mean_word"] > 3) & (m["mean_word"] < 9)),
             rule(m["bars"] > 0.2, (m["bars"] < 0.01) & ~few),
             rule((m["distinct"] < 0.12) & (m["words"] < 2000), (m["distinct"] > 0.3), True),
+            rule(m["letters"] < 0.89, m["letters"] > 0.92),
+            rule(m["plain"] < 0.6, m["plain"] > 0.85),
+            rule(m["stutter"] > 0.2, m["stutter"] < 0.03),
         ],
         axis=1,
     )
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """Prior of good, table[class, labeller, vote] and the posterior of good for each pattern.
+    """Prior of good, table[class, labeller, vote] and the posterior of good for each pattern; no opinion tells nothing.
 
     Starts from the belief that labellers are right more often than wrong; that also fixes which class is good.
     """
     k = patterns.shape[1]
     # A document counts as bad at first when any labeller says so: the labellers look at different faults.
     bad = (patterns == 0).any(axis=1)
-    post = np.where(bad, 0.2, np.where((patterns == 1).any(axis=1), 0.9, 0.5))
-    one_hot = np.stack([patterns == v for v in (0, 1, 2)], axis=2).astype(float)
-    prior, table = 0.5, np.full((2, k, 3), 1 / 3)
+    post = np.where(bad, 0.02, np.where((patterns == 1).any(axis=1), 0.99, 0.5))
+    one_hot = np.stack([patterns == v for v in (0, 1)], axis=2).astype(float)
+    prior, table = 0.5, np.full((2, k, 2), 0.5)
     for _ in range(rounds):
         weight = np.stack([(1 - post) * counts, post * counts])
         table = np.einsum("cp,pkv->ckv", weight, one_hot) + 1.0
         table /= table.sum(axis=2, keepdims=True)
+        over = np.maximum(table[1, :, 0] - ACCUSED, 0)
+        table[1, :, 0] -= over
+        table[1, :, 1] += over
         # Labellers seldom call a good document bad: that a class is called good is what makes it the good one.
         prior = min(max(weight[1].sum() / max(weight.sum(), 1e-9), 0.01), 0.99)
         logs = np.einsum("pkv,ckv->cp", one_hot, np.log(table)) + np.log([[1 - prior], [prior]])
@@ -169,11 +182,9 @@ def train_linear(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float =
     """Logistic regression on soft labels; the last weight is the intercept."""
     n, d = x.shape
     w, m, v = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32)
-    balance = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
-    balance = np.clip(balance, 0.2, 5)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        e = (p - y).astype(np.float32) * balance
+        e = (p - y).astype(np.float32)
         g = np.append(x.T @ e / n + decay * w[:-1], e.mean()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
