@@ -12,6 +12,7 @@ OPERATORS = {
     "op3_quality_classifier": "quality",
     "op4_hilbert_packing": "packing",
     "op5_minhash_near_dedup": "minhash",
+    "op6_toxicity": "toxicity",
 }
 
 
