@@ -201,7 +201,7 @@ def fit(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, slots: int = SL
     # A hash bound that twice the wanted number passes keeps texts from travelling to the sort that picks the sample.
     share = min(1.0, (2.0 * train_documents + 100) / float(seen["n"].sum()))
     order = F.xxhash64("doc_id")
-    sample = docs.where(order <= F.lit(int(-(2**63) + share * (2**64 - 1)))).orderBy(order, "doc_id").limit(train_documents)
+    sample = docs.where(order <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).orderBy(order, "doc_id").limit(train_documents)
     rows = sample.mapInArrow(_examples(slots), "code long, x binary").collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, slots), np.float32)
     y = np.array([label[r["code"]] for r in rows], np.float32)
