@@ -13,6 +13,8 @@ OPERATORS = {
     "op4_hilbert_packing": "packing",
     "op5_minhash_near_dedup": "minhash",
     "op6_toxicity": "toxicity",
+    "op7_byte_bpe": "bpe",
+    "op8_extendible_sharding": "sharding",
 }
 
 
@@ -21,4 +23,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sharding
+
+    return {"op8_extendible_sharding": sharding.oracle()}

@@ -28,7 +28,7 @@ from .textnum import U64, fold, prefix, ranges, runs, span, text_buffer, text_sl
 SPAN, DECAY = 8, 0.45
 LANDMARKS = 256
 #: Bounds of the labelled sample, of each class: the documents with the smallest hashes of doc_id.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 ROUNDS = 5
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _PAD = SPAN - 1
@@ -112,6 +112,15 @@ def norms(out: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(who, weight * weight, len(begin)))
 
 
+def _selected(out: np.ndarray, begin: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The layout of some of the strings."""
+    n = n[which]
+    at = np.cumsum(n + _PAD) - n - _PAD
+    part = np.zeros(int((n + _PAD).sum()) + _PAD, np.int64)
+    part[np.repeat(at, n) + ranges(n)] = out[np.repeat(begin[which], n) + ranges(n)]
+    return part, at
+
+
 def scores(out: np.ndarray, begin: np.ndarray, machine: np.ndarray) -> np.ndarray:
     """The machine's value of each distinct string; its own norm is found only where the sign is positive."""
     if not len(begin):
@@ -125,14 +134,11 @@ def scores(out: np.ndarray, begin: np.ndarray, machine: np.ndarray) -> np.ndarra
             part += machine[at[0] | at[a] << 6 | at[b]]
         total += part * np.float32(DECAY ** (b + 1))
     value = np.bincount(np.searchsorted(begin, where, "right") - 1, total, len(begin))
-    up = np.flatnonzero(value > 1e-9)
-    if up.size:
-        n = np.diff(np.append(begin, len(out) - _PAD)) - _PAD
-        small = np.cumsum(n[up] + _PAD) - n[up] - _PAD
-        part = np.zeros(int((n[up] + _PAD).sum()) + _PAD, np.int64)
-        k = ranges(n[up])
-        part[np.repeat(small, n[up]) + k] = out[np.repeat(begin[up], n[up]) + k]
-        value[up] /= np.maximum(norms(part, small), 1e-9)
+    n = np.diff(np.append(begin, len(out) - _PAD)) - _PAD
+    raised = np.flatnonzero(value > 1e-9)
+    for k in range(0, len(raised), 4096):
+        up = raised[k : k + 4096]
+        value[up] /= np.maximum(norms(*_selected(out, begin, n, up)), 1e-9)
     return value
 
 
@@ -202,6 +208,7 @@ def _first_guess(bags: _Bags, toxic: np.ndarray) -> np.ndarray:
     """How far each string's 3- to 5-grams are more frequent in toxic documents than chance has it."""
     guess = np.full(len(bags.begin), -np.inf)
     pre = prefix(bags.out)
+    doc_of, string_of = bags.doc.astype(np.int32), bags.string
     length = np.diff(np.append(bags.begin, len(bags.out) - _PAD)) - _PAD
     share = toxic.mean()
     for size in (3, 4, 5):
@@ -210,13 +217,16 @@ def _first_guess(bags: _Bags, toxic: np.ndarray) -> np.ndarray:
         at = np.repeat(bags.begin, n) + ranges(n)
         _, gram = np.unique(span(pre, at, at + size), return_inverse=True)
         begin = np.cumsum(n) - n
-        many = n[bags.string]
-        doc = np.repeat(bags.doc, many)
-        g = gram[np.repeat(begin[bags.string], many) + ranges(many)]
-        pair = np.unique(doc * (int(gram.max(initial=0)) + 1) + g)
-        doc, g = pair // (int(gram.max(initial=0)) + 1), pair % (int(gram.max(initial=0)) + 1)
-        seen = np.bincount(g, minlength=int(gram.max(initial=0)) + 1)
-        bad = np.bincount(g, toxic[doc], len(seen))
+        grams = int(gram.max(initial=0)) + 1
+        seen, bad = np.zeros(grams), np.zeros(grams)
+        # Documents in runs: only one run's pairs of document and gram are held at a time.
+        for lo in range(0, len(doc_of), 200_000):
+            lo, hi = (0 if lo == 0 else int(np.searchsorted(doc_of, doc_of[lo]))), (len(doc_of) if lo + 200_000 >= len(doc_of) else int(np.searchsorted(doc_of, doc_of[lo + 200_000])))
+            many = n[string_of[lo:hi]]
+            pair = np.unique(np.repeat(doc_of[lo:hi].astype(np.int64), many) * grams + gram[np.repeat(begin[string_of[lo:hi]], many) + ranges(many)])
+            doc, g = pair // grams, pair % grams
+            seen += np.bincount(g, minlength=grams)
+            bad += np.bincount(g, toxic[doc], grams)
         z = (bad - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
         np.maximum.at(guess, owner, z[gram])
     return guess
@@ -258,11 +268,7 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
         use = np.concatenate([pos, neg])
         if not len(pos) or not len(neg):
             break
-        n = sizes[use]
-        begin = np.cumsum(n + _PAD) - n - _PAD
-        out = np.zeros(int((n + _PAD).sum()) + _PAD, np.int64)
-        out[np.repeat(begin, n) + ranges(n)] = bags.out[np.repeat(bags.begin[use], n) + ranges(n)]
-        who, what, weight = subsequences(out, begin)
+        who, what, weight = subsequences(*_selected(bags.out, bags.begin, sizes, use))
         norm = np.sqrt(np.bincount(who, weight * weight, len(use)))
         usable = norm > 0
         weight = weight / np.maximum(norm[who], 1e-12)
@@ -286,7 +292,9 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
         root = u / np.sqrt(np.maximum(e, 1e-6)) @ u.T
         z = kernel @ root
         y = np.where(np.arange(len(use)) < len(pos), 1.0, -1.0)
-        cost = np.where(y > 0, 10.0 * len(neg) / len(pos) / 4, 10.0)
+        # A witness of many documents weighs more than a rare one.
+        cost = np.full(len(use), 10.0)
+        cost[: len(pos)] *= len(neg) / 4 * np.sqrt(held[pos] + 1) / np.sqrt(held[pos] + 1).sum()
         w = _svm(z[usable], y[usable], cost[usable])
         machine = np.zeros(1 << 18, np.float32)
         machine[seen] = marks.T @ (root @ w[:-1])
@@ -308,10 +316,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, trai
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = labels.where("toxic = 1").orderBy(*order).limit(train_toxic).union(labels.where("toxic = 0").orderBy(*order).limit(train_clean))
-    # The sample's size is bounded by the two parameters, so it is small enough to broadcast at any scale.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    # The sample's size is bounded by the two parameters, so it is small enough to broadcast at any scale, and one task
+    # trains on it.
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    found = sample.repartition(1).mapInArrow(_trained, "machine binary, threshold double").first()
+    return np.frombuffer(bytes(found["machine"]), np.float32), found["threshold"]
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")))), key=lambda r: (r[0], r[1] or "", r[2]))
+    machine, threshold = train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    yield pa.record_batch([pa.array([machine.tobytes()], pa.binary()), pa.array([threshold], pa.float64())], names=["machine", "threshold"])
 
 
 def _scored(machine: np.ndarray, threshold: float, columns: bool):
