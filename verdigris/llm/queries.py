@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 OPERATORS = {
     "op1_suffix_array_dedup": "suffix_array",
+    "op2_license_scan": "licenses",
     "op3_quality_classifier": "quality",
     "op4_hilbert_packing": "packing",
     "op5_minhash_near_dedup": "minhash",
