@@ -16,6 +16,8 @@ OPERATORS = {
     "op6_toxicity": "toxicity",
     "op7_byte_bpe": "bpe",
     "op8_extendible_sharding": "sharding",
+    "op9_cover_tree_pairs": "cover_tree",
+    "op10_shifted_curve_neighbours": "curve_neighbours",
 }
 
 
@@ -24,6 +26,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    from . import sharding
+    from . import cover_tree, curve_neighbours, sharding
 
-    return {"op8_extendible_sharding": sharding.oracle()}
+    return {
+        "op8_extendible_sharding": sharding.oracle(),
+        "op9_cover_tree_pairs": cover_tree.oracle(),
+        "op10_shifted_curve_neighbours": curve_neighbours.oracle(),
+    }
