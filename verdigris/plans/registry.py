@@ -4,9 +4,474 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import batching, glossary, paths, placeholders, pool, translate, usage
+from ..operators import catalog as cat
+from . import corpus
+from .corpus import BASE, MD, V2, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def big(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# Scans and segmentation.
+
+
+@query(f"SELECT doc_id, len(string_split({MD.format(text='text')}, chr(10)))::BIGINT - 1 AS n_lines, length({MD.format(text='text')})::BIGINT AS n_chars FROM documents")
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.split("text", "\n")
+    return corpus.markdown(spark, sf_dir).select("doc_id", (F.size(lines) - 1).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query(f"{BASE} SELECT doc_id, seq::BIGINT AS seq, type, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, path, msgctxt, md5(text) AS text_md5 FROM b1")
+def block_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_blocks(spark, sf_dir).select("doc_id", *big("seq"), "type", *big("start_line", "end_line"), "path", "msgctxt", F.md5("text").alias("text_md5"))
+
+
+@query(f"{BASE} SELECT type, COUNT(*)::BIGINT AS n_blocks, SUM(length(text))::BIGINT AS n_chars FROM b1 GROUP BY type")
+def block_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_blocks(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(f"{BASE} SELECT doc_id, path, type, MAX(idx)::BIGINT AS last_idx, COUNT(*)::BIGINT AS n FROM b1 GROUP BY ALL")
+def section_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_blocks(spark, sf_dir).groupBy("doc_id", "path", "type").agg(F.max("idx").cast("long").alias("last_idx"), F.count("*").alias("n"))
+
+
+_SLUG_SQL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '-', 'g'), '-')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SLUG_SQL.format('left(text, 60)')} AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM s")
+def heading_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slug of a heading made of a document's first 60 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.left("text", F.lit(60))).alias("slug"))
+
+
+@query(f"{BASE} SELECT doc_id, path || '::' || type || ':' || idx AS context_id, split_part(split_part(msgctxt, '::', 1), '/', 1) AS section, regexp_extract(msgctxt, '::([^:]*):', 1) AS kind FROM b1")
+def context_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = corpus.first_blocks(spark, sf_dir)
+    ctx = tx.context_id(F.split("path", "/"), F.col("type"), F.col("idx"))
+    return b.select("doc_id", ctx.alias("context_id"), tx.top_section(F.col("msgctxt")).alias("section"), tx.block_type(F.col("msgctxt")).alias("kind"))
+
+
+# Catalog.
+
+
+@query(f"{BASE} SELECT doc_id, COUNT(*)::BIGINT AS new_entries, SUM(length(text))::BIGINT AS chars FROM b1 GROUP BY doc_id")
+def sync_first_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = spark.createDataFrame([], cat.CATALOG)
+    out = cat.sync(corpus.first_blocks(spark, sf_dir), empty).where("state = 'new' AND msgstr = ''")
+    return out.groupBy("doc_id").agg(F.count("*").alias("new_entries"), F.sum(F.length("msgid")).alias("chars"))
+
+
+@query(f"{BASE} SELECT doc_id, msgctxt, state, md5(msgid) AS msgid_md5, md5(msgstr) AS msgstr_md5, state = 'changed' AS fuzzy FROM sy")
+def sync_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.synced(spark, sf_dir).select("doc_id", "msgctxt", "state", F.md5("msgid").alias("msgid_md5"), F.md5("msgstr").alias("msgstr_md5"), "fuzzy")
+
+
+@query(f"{BASE} SELECT doc_id, msgctxt FROM sy WHERE state = 'dropped'")
+def sync_obsolete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, c = corpus.second_blocks(spark, sf_dir), corpus.first_catalog(spark, sf_dir)
+    return c.join(b.select("doc_id", "msgctxt"), ["doc_id", "msgctxt"], "left_anti").select("doc_id", "msgctxt")
+
+
+@query(f"{BASE} SELECT doc_id, msgctxt, state FROM sy WHERE state <> 'dropped' AND (msgstr = '' OR state = 'changed')")
+def pending_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.pending(corpus.synced(spark, sf_dir)).select("doc_id", "msgctxt", "state")
+
+
+@query(f"{BASE} SELECT doc_id, msgctxt FROM sy WHERE state NOT IN ('dropped', 'changed') AND msgstr = ''")
+def unprocessed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.unprocessed(corpus.synced(spark, sf_dir)).select("doc_id", "msgctxt")
+
+
+@query(
+    f"""{BASE} SELECT doc_id, COUNT(*)::BIGINT AS total, COUNT(*) FILTER (state = 'kept' AND msgstr <> '')::BIGINT AS processed,
+  COUNT(*) FILTER (state = 'changed')::BIGINT AS fuzzy, COUNT(*) FILTER (state IN ('kept', 'new') AND msgstr = '')::BIGINT AS unprocessed,
+  COUNT(*) FILTER (state = 'dropped')::BIGINT AS obsolete FROM sy GROUP BY doc_id"""
+)
+def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.stats(corpus.synced(spark, sf_dir))
+
+
+_COVER = """COUNT(*)::BIGINT AS total, COUNT(*)::BIGINT AS translatable,
+  COUNT(*) FILTER (msgstr <> '' AND state <> 'changed')::BIGINT AS translated, COUNT(*) FILTER (msgstr <> '' AND state = 'changed')::BIGINT AS fuzzy,
+  ROUND(100.0 * COUNT(*) FILTER (msgstr <> '' AND state <> 'changed') / COUNT(*), 6)::DOUBLE AS pct
+  FROM b2 JOIN sy USING (doc_id, msgctxt)"""
+
+
+@query(f"{BASE} SELECT doc_id, {_COVER} GROUP BY doc_id")
+def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.coverage(corpus.second_blocks(spark, sf_dir), corpus.synced(spark, sf_dir), "doc_id")
+
+
+@query(f"{BASE} SELECT type, {_COVER} GROUP BY type")
+def coverage_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.coverage(corpus.second_blocks(spark, sf_dir), corpus.synced(spark, sf_dir), "type")
+
+
+@query(
+    f"""{BASE}, parts AS (SELECT doc_id, seq, CASE WHEN msgstr <> '' THEN msgstr ELSE text END AS t FROM b2 JOIN sy USING (doc_id, msgctxt))
+SELECT doc_id, length(string_agg(t, chr(10) || chr(10) ORDER BY seq)) + 1 AS n_chars, md5(string_agg(t, chr(10) || chr(10) ORDER BY seq) || chr(10)) AS text_md5 FROM parts GROUP BY doc_id"""
+)
+def rebuild_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cat.rebuilt(corpus.second_blocks(spark, sf_dir), corpus.synced(spark, sf_dir), corpus.markdown(spark, sf_dir, 2))
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query(f"{BASE} SELECT doc_id, ord::BIGINT AS ord, md5(msgid) AS src_md5, md5(msgstr) AS tgt_md5 FROM sy WHERE state = 'kept' AND msgstr <> ''")
+def pool_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.pool_seed(corpus.synced(spark, sf_dir)).select("doc_id", *big("ord"), F.md5("src").alias("src_md5"), F.md5("tgt").alias("tgt_md5"))
+
+
+@query(
+    f"""{BASE}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, msgid ORDER BY ord) AS nth FROM c1),
+n AS (SELECT doc_id, msgctxt, text AS msgid, row_number() OVER (PARTITION BY doc_id, text ORDER BY seq) AS nth FROM b2)
+SELECT n.doc_id, n.msgctxt, COALESCE(o.msgstr = '', false) AS fuzzy FROM n LEFT JOIN o USING (doc_id, msgid, nth)"""
+)
+def occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of entries that keep their text, nth to nth; here the old untranslated ones are the flagged."""
+    old = corpus.first_catalog(spark, sf_dir).withColumn("fuzzy", F.col("msgstr") == "")
+    new = corpus.second_blocks(spark, sf_dir).select("doc_id", F.col("seq").alias("ord"), "msgctxt", F.col("text").alias("msgid"), F.lit(False).alias("fuzzy"))
+    return cat.carried(old, new).select("doc_id", "msgctxt", "fuzzy")
+
+
+@query(
+    f"""{BASE}, p AS (SELECT doc_id, msgctxt FROM b1 WHERE type = 'para' AND idx % 5 = 4 UNION SELECT doc_id, msgctxt FROM b1 WHERE type = 'para' AND idx % 3 = 1)
+SELECT b1.doc_id, b1.seq::BIGINT AS seq, b1.msgctxt FROM b1 SEMI JOIN p USING (doc_id, msgctxt)"""
+)
+def multi_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that are pending in one of two languages' catalogs, in source order."""
+    b, one = corpus.first_blocks(spark, sf_dir), corpus.first_catalog(spark, sf_dir)
+    empty = (tx.block_type(F.col("msgctxt")) == "para") & (F.regexp_extract("msgctxt", r"(\d+)$", 1).cast("int") % 3 == 1)
+    other = one.withColumn("msgstr", F.when(empty, "").otherwise(F.lit("x")))
+    wanted = cat.pending(one).select("doc_id", "msgctxt").union(cat.pending(other).select("doc_id", "msgctxt")).distinct()
+    return b.join(wanted, ["doc_id", "msgctxt"], "left_semi").select("doc_id", *big("seq"), "msgctxt")
+
+
+# Batches and estimates.
+
+_PENDING_SQL = "e AS (SELECT doc_id, msgctxt, length(msgid) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM sy WHERE state <> 'dropped' AND (msgstr = '' OR state = 'changed'))"
+_GROUPS_SQL = f"""{BASE}, {_PENDING_SQL},
+g AS (
+  SELECT doc_id, msgctxt, len, k, 0 AS group_no, 1 AS n, len AS chars FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.doc_id, e.msgctxt, e.len, e.k, CASE WHEN full_now THEN group_no + 1 ELSE group_no END, CASE WHEN full_now THEN 1 ELSE n + 1 END, CASE WHEN full_now THEN e.len ELSE chars + e.len END
+  FROM (SELECT g.*, e2.msgctxt AS m2, (g.n + 1 > 40 OR g.chars + e2.len > 8000) AS full_now FROM g JOIN e e2 ON g.doc_id = e2.doc_id AND e2.k = g.k + 1) x
+  JOIN e ON e.doc_id = x.doc_id AND e.k = x.k + 1)"""
+
+
+@query(f"{_GROUPS_SQL} SELECT doc_id, msgctxt, len::BIGINT AS chars, group_no::BIGINT AS group_no FROM g")
+def batch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.section_groups(cat.pending(corpus.synced(spark, sf_dir))).select("doc_id", "msgctxt", *big("chars", "group_no"))
+
+
+@query(f"{_GROUPS_SQL} SELECT doc_id, group_no::BIGINT AS chunk_no, COUNT(*)::BIGINT AS n, SUM(len)::BIGINT AS chars FROM g GROUP BY ALL")
+def batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = batching.chunks(cat.pending(corpus.synced(spark, sf_dir)), ["doc_id"])
+    return c.groupBy("doc_id", F.col("chunk_no").cast("long").alias("chunk_no")).agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
+
+
+@query(
+    f"""{_GROUPS_SQL}, t AS (SELECT doc_id, COUNT(*)::BIGINT AS pending, SUM(len)::BIGINT AS chars, MAX(group_no) + 1 AS batches FROM g GROUP BY doc_id)
+SELECT doc_id, pending, chars, batches::BIGINT AS batches, GREATEST(1, chars // 4)::BIGINT AS input_tokens, (GREATEST(1, chars // 4) * 12 // 10)::BIGINT AS output_tokens FROM t"""
+)
+def estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.estimate(cat.pending(corpus.synced(spark, sf_dir))).select("doc_id", *big("pending", "chars", "batches", "input_tokens", "output_tokens"))
+
+
+@query(f"{BASE} SELECT c.doc_id, c.ord::BIGINT AS at, COUNT(*)::BIGINT AS visible FROM c1 c JOIN c1 p ON c.doc_id = p.doc_id AND p.ord < c.ord AND p.msgid <> c.msgid WHERE c.msgstr = '' AND p.msgstr <> '' GROUP BY ALL")
+def pool_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.first_catalog(spark, sf_dir)
+    return pool.visible(cat.pending(c), cat.pool_seed(c)).groupBy("doc_id", F.col("at").cast("long").alias("at")).agg(F.count("*").alias("visible"))
+
+
+@query()
+def similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar earlier pairs of every pending paragraph."""
+    c = corpus.first_catalog(spark, sf_dir)
+    return pool.references(cat.pending(c), cat.pool_seed(c)).select("doc_id", *big("at", "rank"), F.round("score", 6).alias("score"), F.md5("src").alias("src_md5"))
+
+
+# Glossaries.
+
+TERMS = {"": '{"the": {"de": "das", "fr": "le"}, "of": null, "API": "API", "tion": "-tion", "is": "ist"}', "en": '{"the": {"fr": "la"}, "of": "__remove__", "API": null}', "en/deep": '{"the": "THE", "of": "von", "is": {"de": "war"}}'}
+_FILES_SQL = "f AS (SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN doc_id % 2 = 0 THEN 'en/deep/' ELSE 'en/' END ELSE lang || '/' END || source || '-' || doc_id || '.md' AS rel_path FROM documents)"
+_CASCADE_SQL = f"""WITH {_FILES_SQL},
+t(scope, term, kind, scalar, de, fr) AS (VALUES
+  ('root', 'the', 'locales', NULL, 'das', 'le'), ('root', 'of', 'keep', NULL, NULL, NULL), ('root', 'API', 'text', 'API', NULL, NULL), ('root', 'tion', 'text', '-tion', NULL, NULL), ('root', 'is', 'text', 'ist', NULL, NULL),
+  ('en', 'the', 'locales', NULL, 'das', 'la'), ('en', 'API', 'keep', NULL, NULL, NULL), ('en', 'tion', 'text', '-tion', NULL, NULL), ('en', 'is', 'text', 'ist', NULL, NULL),
+  ('deep', 'the', 'text', 'THE', NULL, NULL), ('deep', 'of', 'text', 'von', NULL, NULL), ('deep', 'API', 'keep', NULL, NULL, NULL), ('deep', 'tion', 'text', '-tion', NULL, NULL), ('deep', 'is', 'locales', NULL, 'war', NULL)),
+e AS (SELECT doc_id, rel_path, term, kind, scalar, de, fr FROM f JOIN t ON t.scope = CASE WHEN rel_path LIKE 'en/deep/%' THEN 'deep' WHEN rel_path LIKE 'en/%' THEN 'en' ELSE 'root' END)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.when(F.col("lang") == "en", F.when(F.col("doc_id") % 2 == 0, "en/deep/").otherwise("en/")).otherwise(F.concat("lang", F.lit("/")))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(folder, "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"))
+
+
+def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.cascaded(_files(spark, sf_dir), glossary.levels(spark, TERMS))
+
+
+@query(f"{_CASCADE_SQL} SELECT rel_path, term, kind, scalar, de, fr FROM e")
+def glossary_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _effective(spark, sf_dir).select("rel_path", "term", "kind", "scalar", F.try_element_at("by_locale", F.lit("de")).alias("de"), F.try_element_at("by_locale", F.lit("fr")).alias("fr"))
+
+
+@query(f"{_CASCADE_SQL} SELECT rel_path, term, CASE kind WHEN 'text' THEN scalar WHEN 'locales' THEN fr END AS replacement FROM e")
+def glossary_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.resolved(_effective(spark, sf_dir), F.lit("fr")).select("rel_path", "term", "replacement")
+
+
+@query(f"{_CASCADE_SQL} SELECT d.doc_id, term FROM e JOIN documents d USING (doc_id) WHERE contains(d.text, term)")
+def glossary_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    return files.join(_effective(spark, sf_dir), "rel_path").where(F.contains("text", "term")).select("doc_id", "term")
+
+
+@query(
+    f"""WITH {_FILES_SQL}, p AS (SELECT doc_id, rel_path, string_split(rel_path, '/') AS a FROM f)
+SELECT rel_path, n::BIGINT AS depth, array_to_string(a[1:n], '/') AS dir FROM (SELECT rel_path, a, unnest(range(0, len(a))) AS n FROM p)"""
+)
+def ancestor_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.chains(_files(spark, sf_dir)).select("rel_path", *big("depth"), "dir")
+
+
+@query(
+    """SELECT doc_id, text LIKE '%the%' AS has_term, replace(replace(left(text, 200), 'the', '⟦P:0⟧'), '⟦P:0⟧', CASE lang WHEN 'de' THEN 'das' WHEN 'fr' THEN 'le' ELSE 'the' END) AS decoded FROM documents"""
+)
+def glossary_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term's token is decoded to the language's form, or to the term itself."""
+    docs = table(spark, sf_dir, "documents")
+    entry = F.struct(F.lit("⟦P:0⟧").alias("token"), F.lit("the").alias("original"), F.lit("glossary").alias("pattern_name"), F.lit(None).cast("string").alias("replacement"))
+    forms = F.when(F.col("lang") == "de", F.create_map(F.lit("the"), F.lit("das"))).when(F.col("lang") == "fr", F.create_map(F.lit("the"), F.lit("le"))).otherwise(F.create_map(F.lit("the"), F.lit(None).cast("string")))
+    text = F.replace(F.left("text", F.lit(200)), F.lit("the"), F.lit("⟦P:0⟧"))
+    return docs.select("doc_id", F.contains("text", F.lit("the")).alias("has_term"), placeholders.decode(text, placeholders.stamped(F.array(entry), forms)).alias("decoded"))
+
+
+# Placeholders.
+
+_ATTRS = r"""\b(?:class|id|href|srcset|src|rel|target|name|for|style|type|role|lang|dir|xml:lang|xmlns|action|method|width|height|data-[\w-]+)\b\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+)"""
+
+
+@query(rf"SELECT page_id, len(regexp_extract_all(html, '(?i){_ATTRS}'))::BIGINT AS n_attrs, len(regexp_extract_all(html, '\{{#[^\s{{}}][^{{}}]*\}}'))::BIGINT AS n_anchors FROM pages")
+def html_attr_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attrs = "(?i)" + placeholders.ATTRIBUTE.pattern
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(attrs)).cast("long").alias("n_attrs"), F.regexp_count("html", F.lit(placeholders.ANCHOR.pattern)).cast("long").alias("n_anchors"))
+
+
+@query()
+def placeholder_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with protected spans as tokens, and whether decoding gives the page again."""
+    pages = table(spark, sf_dir, "pages").withColumn("e", placeholders.encode(F.col("html"), placeholders.effective()))
+    return pages.select("page_id", F.size("e.map").cast("long").alias("n_tokens"), F.md5("e.encoded").alias("encoded_md5"), (placeholders.decode(F.col("e.encoded"), F.col("e.map")) == F.col("html")).alias("restored"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 OR doc_id % 3 = 1 AND doc_id % 2 = 0 AS kept FROM documents")
+def round_trip_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token multisets of answers that keep, lose or repeat tokens."""
+    p = lambda n: F.struct(F.lit(f"⟦P:{n}⟧").alias("token"))
+    answer = F.when(F.col("doc_id") % 3 == 0, "a ⟦P:1⟧ b ⟦P:0⟧").when(F.col("doc_id") % 3 == 1, F.when(F.col("doc_id") % 2 == 0, "⟦P:0⟧⟦P:1⟧").otherwise("⟦P:0⟧ ⟦P:0⟧")).otherwise("⟦P:0⟧")
+    return table(spark, sf_dir, "documents").select("doc_id", placeholders.tokens_kept(answer, F.array(p(0), p(1))).alias("kept"))
+
+
+@query()
+def tag_signature_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(placeholders.signatures(F.col("html"))).alias("signature")).groupBy("page_id", "signature").agg(F.count("*").alias("n"))
+
+
+# Languages and validation.
+
+_MIX = "CASE doc_id % 5 WHEN 0 THEN left(text, 80) WHEN 1 THEN '비밀번호 ' || left(text, 10) WHEN 2 THEN '漢字かな ' || left(text, 3) WHEN 3 THEN '12 34 !' ELSE '한글 漢字' END"
+_EN, _JA, _KO, _ZH = "[A-Za-z]", r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}]", r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}]", r"[\x{4E00}-\x{9FFF}]"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_MIX).alias("t"))
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id, {_MIX} AS t FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, '{_EN}') THEN 'en' END, CASE WHEN regexp_matches(t, '{_JA}') THEN 'ja' END, CASE WHEN regexp_matches(t, '{_KO}') THEN 'ko' END, CASE WHEN regexp_matches(t, '{_ZH}') THEN 'zh' END) AS languages FROM m"""
+)
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("doc_id", F.array_join(tx.languages(F.col("t")), ",").alias("languages"))
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id, {_MIX} AS t FROM documents),
+c AS (SELECT doc_id, len(regexp_extract_all(t, '{_EN}')) AS l, len(regexp_extract_all(t, '{_JA}')) + len(regexp_extract_all(t, '{_ZH}')) AS j, len(regexp_extract_all(t, '{_KO}')) AS k FROM m)
+SELECT doc_id, CASE WHEN GREATEST(l, j, k) = 0 THEN NULL WHEN j >= GREATEST(l, k) THEN 'cjk' WHEN k >= l THEN 'korean' ELSE 'latin' END AS family FROM c"""
+)
+def dominant_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("doc_id", tx.dominant_family(F.col("t")).alias("family"))
+
+
+_PROSE_SQL = "len(list_intersect(regexp_extract_all(lower({0}), '[a-z]+'), [" + ", ".join(f"'{w}'" for w in tx.PROSE) + "])) > 0"
+
+
+@query(f"SELECT doc_id, {_PROSE_SQL.format('left(text, 40)')} AS prose FROM documents")
+def english_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.english_prose(F.left("text", F.lit(40))).alias("prose"))
+
+
+_SOURCE = "'## ' || left(replace({t}, {nl}, ' '), 30) || ' `a` API'"
+_OUTPUT = "CASE doc_id % 5 WHEN 0 THEN {s} WHEN 1 THEN '### 섹션 `a` API' WHEN 2 THEN '## 섹션 없음' WHEN 3 THEN '## ' || left(source, 2) || ' `a` API' ELSE '## 섹션 `a` API' || {nl} || '```' END"
+
+
+@query(
+    f"""WITH v AS (SELECT doc_id, {_SOURCE.format(t='text', nl='chr(10)')} AS s, source FROM documents),
+o AS (SELECT doc_id, s, {_OUTPUT.format(s='s', nl='chr(10)')} AS o FROM v)
+SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 1 THEN 'heading_level' END, CASE WHEN doc_id % 5 = 4 THEN 'fence_count' END,
+  CASE WHEN NOT contains(o, 'API') THEN 'glossary_preserve' END,
+  CASE WHEN NOT regexp_matches(o, '{_KO}') AND (o <> s OR {_PROSE_SQL.format('s')}) THEN 'target_language' END,
+  CASE WHEN doc_id % 5 = 2 THEN 'inline_code_count' END) AS issues FROM o"""
+)
+def validate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("s", F.expr(_SOURCE.format(t="text", nl="char(10)"))).withColumn("o", F.expr(_OUTPUT.format(s="s", nl="char(10)")))
+    found = tx.issues(F.col("s"), F.col("o"), F.lit("ko-KR"), F.lit(True), F.lit(False), F.array(F.lit("API")))
+    return docs.select("doc_id", F.array_join(found, ",").alias("issues"))
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id, {_MIX} AS t FROM documents), x AS (SELECT doc_id, t, CASE doc_id % 4 WHEN 0 THEN t WHEN 1 THEN '한글만' WHEN 2 THEN 'latin' ELSE t || ' 漢' END AS o FROM m),
+c AS (SELECT doc_id, regexp_matches(t, '{_EN}') AS l, regexp_matches(t, '{_JA}|{_ZH}') AS j, regexp_matches(t, '{_KO}') AS k, regexp_matches(o, '{_EN}') AS l2, regexp_matches(o, '{_JA}|{_ZH}') AS j2, regexp_matches(o, '{_KO}') AS k2,
+  len(regexp_extract_all(t, '{_EN}')) AS nl, len(regexp_extract_all(t, '{_JA}')) + len(regexp_extract_all(t, '{_ZH}')) AS nj, len(regexp_extract_all(t, '{_KO}')) AS nk FROM x)
+SELECT doc_id, (l OR j OR k) AND (l2 OR j2 OR k2) AND ((l2 AND NOT l) OR (j2 AND NOT j) OR (k2 AND NOT k)
+  OR NOT CASE WHEN nj >= GREATEST(nl, nk) THEN j2 WHEN nk >= nl THEN k2 ELSE l2 END) AS unstable FROM c"""
+)
+def language_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.expr("CASE doc_id % 4 WHEN 0 THEN t WHEN 1 THEN '한글만' WHEN 2 THEN 'latin' ELSE t || ' 漢' END")
+    return _mixed(spark, sf_dir).select("doc_id", tx.unstable(F.col("t"), o).alias("unstable"))
+
+
+_RAW = """CASE doc_id % 4 WHEN 0 THEN '{{"a": "' || source || '"}}' WHEN 1 THEN '```json' || {nl} || '{{"a": "' || source || '"}}' || {nl} || '```' WHEN 2 THEN 'Sure! {{"a": "' || source || '"}} Done.' ELSE 'no json' END"""
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN source END AS a FROM documents")
+def response_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr(_RAW.format(nl="char(10)"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(tx.salvage_json(raw), "$.a").alias("a"))
+
+
+# Usage, receipts, directories.
+
+_PRICES = [("model-a", 2.0, 8.0), ("x/model-b", 1.0, 4.0), ("model-c", 3.0, None)]
+_PRICES_SQL = "p(model, i, o) AS (VALUES ('model-a', 2.0, 8.0), ('x/model-b', 1.0, 4.0), ('model-c', 3.0, NULL))"
+_MODEL = "CASE doc_id % 4 WHEN 0 THEN 'model-a' WHEN 1 THEN 'y/model-a' WHEN 2 THEN 'x/model-b' ELSE 'model-c' END"
+
+
+def _prices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_PRICES, "model string, input_rate double, output_rate double")
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = F.when(F.col("doc_id") % 10 == 9, "n/a").otherwise(F.length("text").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr(_MODEL).alias("model"), sent.alias("input_tokens"), (F.col("doc_id") % 100).cast("string").alias("output_tokens"))
+
+
+_RATED = f"{_PRICES_SQL}, r AS (SELECT c.*, CASE WHEN c.model = 'model-c' THEN NULL ELSE COALESCE(a.i, b.i) END::DOUBLE AS input_rate, CASE WHEN c.model = 'model-c' THEN NULL ELSE COALESCE(a.o, b.o) END::DOUBLE AS output_rate FROM c LEFT JOIN p a ON c.model = a.model LEFT JOIN p b ON regexp_replace(c.model, '^[^/]*/', '') = b.model)"
+
+
+@query(
+    f"""WITH c AS (SELECT {_MODEL} AS model, COUNT(*)::BIGINT AS api_calls, SUM(CASE WHEN doc_id % 10 = 9 THEN 0 ELSE length(text) END)::BIGINT AS input_tokens, SUM(doc_id % 100)::BIGINT AS output_tokens FROM documents GROUP BY 1), {_RATED}
+SELECT model, api_calls, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens, ROUND(input_tokens * input_rate / 1e6, 6) AS input_cost, ROUND(output_tokens * output_rate / 1e6, 6) AS output_cost FROM r"""
+)
+def usage_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = usage.receipts(_calls(spark, sf_dir), _prices(spark))
+    return out.select("model", "api_calls", "input_tokens", "output_tokens", "total_tokens", F.round("input_cost", 6).alias("input_cost"), F.round("output_cost", 6).alias("output_cost"))
+
+
+@query(f"WITH c AS (SELECT doc_id, {_MODEL} AS model FROM documents), {_RATED} SELECT doc_id, model, input_rate, output_rate FROM r")
+def price_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.priced(_calls(spark, sf_dir).select("doc_id", "model"), _prices(spark)).select("doc_id", "model", "input_rate", "output_rate")
+
+
+@query("SELECT CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'processed' END AS status, COUNT(*)::BIGINT AS files, SUM(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+def directory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "documents").select(F.length("text").alias("chars"), F.expr("int(doc_id % 11 = 0)").alias("failed"), F.expr("int(doc_id % 13 = 0)").alias("validation_failed"), (F.col("doc_id") % 3).alias("processed"))
+    return usage.directory_status(f).groupBy("status").agg(F.count("*").alias("files"), F.sum("chars").alias("chars"))
+
+
+# Paths.
+
+
+@query(f"WITH {_FILES_SQL}, s AS (SELECT rel_path, unnest(string_split(regexp_replace(rel_path, '\\.[^./]*$', ''), '/')) AS segment FROM f) SELECT segment, MIN(rel_path) AS first_file FROM s WHERE segment <> '' AND segment NOT LIKE '.%' GROUP BY segment")
+def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.segments(_files(spark, sf_dir)).select("segment", "first_file")
+
+
+_NAME_SQL = r"""regexp_replace(regexp_replace(regexp_replace(trim(nfc_normalize({0})), '\s+', '-', 'g'), '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '-+', '-', 'g')"""
+_RESERVED = r"regexp_replace(trim(n, '-. '), '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)', '\1_\2')"
+_TITLE = "CASE WHEN doc_id % 9 = 0 THEN 'nul' WHEN doc_id % 9 = 1 THEN '??' ELSE left(text, 24) || '?' END"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_NAME_SQL.format(_TITLE)} AS n, source FROM documents), u AS (SELECT doc_id, source, {_RESERVED} AS s FROM t)
+SELECT doc_id, CASE WHEN s = '' THEN 'segment-' || left(sha1(source), 8) ELSE s END AS name FROM u"""
+)
+def path_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", paths.segment_name(F.expr(_TITLE), F.col("source")).alias("name"))
+
+
+@query(
+    """WITH e AS (SELECT lang AS parent, lpad(doc_id::VARCHAR, 9, '0') AS segment, source AS slug FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY parent, slug ORDER BY segment) AS k FROM e)
+SELECT parent, segment, slug, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS name FROM r"""
+)
+def path_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "documents").select(F.col("lang").alias("parent"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("segment"), F.col("source").alias("slug"))
+    return paths.disambiguated(e)
+
+
+_RUN = "CASE WHEN doc_id % 4 = 0 THEN 'new-' || doc_id ELSE 'out-' || doc_id END"
+
+
+def _maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("src"), "doc_id")
+    prior = d.where("doc_id % 2 = 0").select("src", F.concat(F.lit("out-"), "src").alias("tgt")).union(d.select(F.concat(F.lit("gone-"), "src"), F.concat(F.lit("gone-out-"), "src")))
+    return prior, d.select("src", F.expr(_RUN).alias("tgt"), (F.col("doc_id") % 5 != 0).alias("ok"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS src, CASE WHEN doc_id % 5 <> 0 THEN {_RUN} ELSE 'out-' || doc_id END AS tgt FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 2 = 0")
+def path_map_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.published(*_maps(spark, sf_dir))
+
+
+@query("SELECT 'out-' || doc_id AS tgt FROM documents WHERE doc_id % 4 = 0 AND doc_id % 5 <> 0 UNION ALL SELECT 'gone-out-' || doc_id FROM documents")
+def stale_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.stale(*_maps(spark, sf_dir))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'ja' THEN 'ja,ko' ELSE lang || ',ja,ko' END AS langs, 3::BIGINT AS n FROM documents")
+def lang_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = tx.language_list(F.concat("lang", F.lit(" , ja,,"), "lang", F.lit(",ko , ja")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(langs, ",").alias("langs"), F.size(langs).cast("long").alias("n"))
+
+
+@query(f"{BASE} SELECT doc_id, msgctxt, '[T] ' || msgid AS answer FROM sy WHERE state <> 'dropped' AND (msgstr = '' OR state = 'changed')")
+def translate_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pending entry through the batch translator, with the offline echo model."""
+    todo = cat.pending(corpus.synced(spark, sf_dir))
+    groups = batching.section_groups(todo).select("doc_id", "msgctxt", "group_no").join(todo.select("doc_id", "msgctxt", "ord", "msgid"), ["doc_id", "msgctxt"])
+    return translate.translated(groups, translate.echo, translate.echo_one).select("doc_id", "msgctxt", "answer")
