@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """documents without those that near_duplicates() maps to a smaller doc_id; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, **params).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti").select(docs.columns)
+    gone = near_duplicates(docs, **params).select(F.col("doc_id").alias("near_duplicate_id"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["near_duplicate_id"], "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

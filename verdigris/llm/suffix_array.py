@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .stage import cut, identified, rows_with_id
-from .textnum import U64, binary_array, mix, prefix, ranges, signed, span, text_buffer, text_slices, words
+from .textnum import U64, binary_array, fold, mix, prefix, ranges, signed, span, text_buffer, text_slices, words
 
 MIN_WORDS = 50
 GRAM = 12
@@ -291,10 +291,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the given word ranges; white space around what goes is kept once."""
     for batch in batches:
         spans = batch.column("spans").to_pylist()
-        texts = []
+        texts, stays = [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             if not spans[i] or not text:
                 texts.append(text)
+                stays.append(True)
                 continue
             raw = text.encode()
             buf, off = text_buffer(pa.array([text]))
@@ -306,28 +307,27 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(raw[at : start[s["start_word"]]])
                 at = end[s["end_word"] - 1]
             texts.append(b"".join([*keep, raw[at:]]).decode(errors="replace").strip())
+            stays.append(bool(fold(np.frombuffer(texts[-1].encode(), np.uint8)).any()))
         names = [c for c in batch.schema.names if c != "spans"]
         new = pa.array(texts, pa.string())
         columns = [new if c == "text" else batch.column(c) for c in names]
         if "n_chars" in names:
             at = names.index("n_chars")
-            columns[at] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-        yield pa.record_batch(columns, names=names)
+            columns[at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[at].type)
+        yield pa.record_batch(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """documents with every repeated passage cut out of all documents but the first that holds it; n_chars follows.
 
-    Documents without a repeat keep their text to the byte; documents that lose every word go. Null texts and rows with
-    a null doc_id stay as they are.
+    Documents without a repeat keep their text to the byte; documents whose last word is cut go. Null and empty texts
+    and rows with a null doc_id stay as they are; columns that documents doesn't have are dropped.
     """
     docs = rows_with_id(docs)
     spans = merged(repeated_passages(docs, min_words, gram).where("doc_id <> first_doc_id").select("doc_id", "start_word", "end_word"), ["doc_id"])
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "spans")
-    out = joined.mapInArrow(_remove, docs.schema)
-    # A text that had no word to begin with lost nothing.
-    return out.where(F.col("text").isNull() | (F.col("text") == "") | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    return joined.mapInArrow(_remove, docs.schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,6 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, trai
     # trains on it.
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     found = sample.repartition(1).mapInArrow(_trained, "machine binary, threshold double").first()
+    if found is None:  # no labelled document
+        return np.zeros(1 << 18, np.float32), np.inf
     return np.frombuffer(bytes(found["machine"]), np.float32), found["threshold"]
 
 
