@@ -3,8 +3,8 @@
 On unit vectors the threshold is a distance. Vectors go to the block of their nearest pivot; a vector visits another
 block only if it lies close enough to the plane between the two pivots for a partner to lie beyond. Each block builds a
 cover tree of its own vectors and one of its visitors: a node's points lie within its radius, and its children are a
-net of half that radius. Node pairs whose centres are farther apart than the threshold and both covering radii are
-pruned; pairs that lie within the threshold as a whole are taken; the others are opened.
+net of half that radius. Where such a net would be nearly the points themselves, the node keeps them as they
+are. Node pairs whose centres are farther apart than the threshold and both covering radii are pruned; pairs that lie within the threshold as a whole are taken; the others are opened.
 """
 
 from __future__ import annotations
@@ -61,6 +61,9 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, away: np.ndarray
         near[c], owner[c] = 0.0, len(centres)
         centres.append(c)
         left &= d > half
+        if len(centres) >= 64 and len(points) - left.sum() < 4 * len(centres):
+            # A net that is nearly the points themselves: the levels between would hold one point a node.
+            return Node(points, radius, None)
     children = []
     for k, c in enumerate(centres):
         inside = np.flatnonzero(owner == k)
@@ -91,7 +94,9 @@ def close_pairs(a: Node, b: Node, xa: np.ndarray, xb: np.ndarray, limit: float)
         point = (pr == 0)[:, None] & (qr == 0)[None, :]
         whole = both & ~point & (d + pr[:, None] + qr[None, :] <= limit)
         single = both & point
-        for i, j in zip(*np.nonzero(whole | single & np.array([[m is not None or n is not None for n in qn] for m in pn]) if any(m is not None for m in pn) or any(n is not None for n in qn) else whole)):
+        # Nodes of radius 0 hold copies of one point, and count as a whole.
+        many = np.array([m is not None for m in pn])[:, None] | np.array([n is not None for n in qn])[None, :]
+        for i, j in zip(*np.nonzero(whole | single & many)):
             s = pn[i].points if pn[i] is not None else pc[i : i + 1]
             t = qn[j].points if qn[j] is not None else qc[j : j + 1]
             left.append(np.repeat(s, len(t)))
@@ -138,6 +143,7 @@ def _join(threshold: float, limit: float):
     def run(t: pa.Table) -> pa.Table:
         ids, x = t["vec_id"].to_numpy(), matrix(t["vector"])
         home, own = t["home"].to_numpy(zero_copy_only=False).astype(bool), t["own"].to_numpy(zero_copy_only=False).astype(bool)
+        source = t["source"].to_numpy()
         at, guest = np.flatnonzero(home), np.flatnonzero(~home)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(at):
@@ -146,10 +152,11 @@ def _join(threshold: float, limit: float):
                 i, j = close_pairs(tree, tree, x[at], x[at], limit)
                 left.append(at[i][i < j])
                 right.append(at[j][i < j])
-            if len(guest):
-                i, j = close_pairs(tree, cover_tree(x[guest]), x[at], x[guest], limit)
+            for s in np.unique(source[guest]):
+                part = guest[source[guest] == s]
+                i, j = close_pairs(tree, cover_tree(x[part]), x[at], x[part], limit)
                 left.append(at[i])
-                right.append(guest[j])
+                right.append(part[j])
         i, j = np.concatenate(left), np.concatenate(right)
         sim = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
         ok = sim >= threshold
