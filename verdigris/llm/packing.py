@@ -68,6 +68,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, dims: int = DIMS, bits: in
     out; repeated rows are packed as often as they occur. An empty table gives no rows.
     """
     keyed = identified(docs).mapInArrow(_keys(dims, bits), "doc_id long, curve_key long, n_tokens long").where("n_tokens > 0")
+    keyed = cut(keyed)  # else the range sort's sampling would read the texts a second time
     keyed = keyed.orderBy("curve_key", "doc_id", "n_tokens").withColumn("part", F.spark_partition_id())
     keyed = cut(keyed)
     within = Window.partitionBy("part").orderBy("curve_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
