@@ -6,7 +6,6 @@ documents share stay in the first of them only; what is left is packed into trai
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from verdigris.llm.minhash import keep_one
 from verdigris.llm.packing import packed
 from verdigris.llm.quality import good_documents
-from verdigris.llm.stage import rows_with_id, table
+from verdigris.llm.stage import rows_with_id, shared_folder, table
 from verdigris.llm.suffix_array import without_repeats
 from verdigris.llm.toxicity import civil_documents
 
@@ -54,8 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the shared folder of the session's checkpoints."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="verdigris-")
-    root = f"{root}/pipeline-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"

@@ -30,7 +30,15 @@ TEMPLATES = [
     (
         "MIT",
         "permissive",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        (
+            "Permission is hereby granted, free of charge, to any "
+            "person obtaining a copy of this software and associated "
+            "documentation files, to deal in the Software without restriction, "
+            "including without limitation the rights to use, copy, modify, "
+            "merge, publish, distribute, sublicense, and/or sell copies of the "
+            "Software, and to permit persons to whom the Software "
+            "is furnished to do so"
+        ),
     ),
     ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0."),
     (

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or tempfile.mkdtemp(prefix="verdigris-")
+
 
-    Only where the setting is missing (tests, one machine) a temporary folder takes its place.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: what follows doesn't depend on executors that made it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="verdigris-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
