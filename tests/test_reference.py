@@ -70,11 +70,11 @@ def test_sample_has_one_block_of_every_type():
 @pytest.mark.parametrize(
     "lines, paths",
     [
-        (["# A", "## B", "### C"], ["a", "a/b", "a/b/c"]),
-        (["# First", "## Sub1", "# Second", "## Sub2"], ["first", "first/sub1", "second", "second/sub2"]),
-        (["# Setup", "## Setup"], ["setup", "setup/setup"]),
-        (["# Setup", "# Setup"], ["setup", "setup-1"]),
-        (["# A", "### C", "### D"], ["a", "a/c", "a/c/d"]),
+        (["# P one", "## Q", "### R"], ["p-one", "p-one/q", "p-one/q/r"]),
+        (["# Up", "## In", "# Over", "## Out"], ["up", "up/in", "over", "over/out"]),
+        (["# Same", "## Same"], ["same", "same/same"]),
+        (["# Same", "# Same"], ["same", "same-1"]),
+        (["# P", "### R", "### S"], ["p", "p/r", "p/r/s"]),
     ],
 )
 def test_heading_paths(lines, paths):
@@ -85,7 +85,7 @@ def test_heading_paths(lines, paths):
     "lines, kinds",
     [
         (["```", "a", "b"], [("code", 0, 3)]),
-        (["- Top", "  - Nested", "- Another"], [("ulist", 0, 3)]),
+        (["- Over", "  - Under it", "- Next"], [("ulist", 0, 3)]),
         (["- a", "", "- b", "", "text"], [("ulist", 0, 3), ("para", 4, 5)]),
         (["- a", "1. b"], [("ulist", 0, 1), ("olist", 1, 2)]),
         (["- a", "", "1. b"], [("ulist", 0, 1), ("olist", 2, 3)]),
@@ -261,7 +261,7 @@ def test_catalog_files_round_trip(tmp_path):
     po.save(path, entries, {"Language": "ko"})
     found, metadata = po.load_or_create(path, "ja")
     assert found == entries and metadata["Language"] == "ko"
-    assert po.load_or_create(str(tmp_path / "none.po"), "ja") == ([], {"Content-Type": "text/plain; charset=UTF-8", "Language": "ja"})
+    assert po.load_or_create(str(tmp_path / "none.po"), "ja") == ([], {"Content-Type": po.PLAIN, "Language": "ja"})
     with pytest.raises(ValueError):
         po.load_or_create(None)
 

@@ -33,8 +33,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--validation", default="off", choices=engine.VALIDATION)
         s.add_argument("--glossary")
         s.add_argument("--json-receipt")
-        s.add_argument("--batch-size", type=int, default=batching.BATCH_SIZE)
-        s.add_argument("--batch-max-chars", type=int, default=batching.BATCH_CHARS)
+        s.add_argument("--batch-size", default=batching.BATCH_SIZE, type=int)
+        s.add_argument("--batch-max-chars", default=batching.BATCH_CHARS, type=int)
         s.add_argument("--target", default="en")
         s.add_argument("--glob", default="*.md")
         s.add_argument("--catalog", required=True, help="folder of the stored catalog")
@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv=None) -> int:
     """0, 1 when an entry failed, 2 for wrong usage."""
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("verdigris").getOrCreate()

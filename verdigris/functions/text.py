@@ -49,7 +49,7 @@ def safe_segment(raw: Column) -> Column:
 
 def heading_level(text: Column) -> Column:
     """1 to 6, or null for what is no heading."""
-    return F.nullif(F.length(F.regexp_extract(text, r"^(#{1,6})\s+", 1)), F.lit(0))
+    return F.nullif(F.length(F.regexp_extract(text, r"^(#{1,6})\s", 1)), F.lit(0))
 
 
 def fences(text: Column) -> Column:

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 BLOCKS = "doc_id long, seq int, type string, text string, start_line int, end_line int, path string, idx int, msgctxt string"
 
 _FENCE = re.compile(r"```|~~~")
-_HEADING = re.compile(r"(#{1,6})\s+(.*)")
+_HEADING = re.compile(r"(?P<marks>#{1,6})\s+(?P<title>.*)")
 _RULE = re.compile(r"\s*(?:-\s*(?:-\s*){2,}|\*\s*(?:\*\s*){2,}|_\s*(?:_\s*){2,})$")
 _ITEM = re.compile(r"(\s*)(?:([-*+])|(\d+\.))\s+")
 _ROW = re.compile(r"\s*\|")
 
 
 def slug(title: str) -> str:
-    kept = re.sub(r"[^\w\s-]", "", title.lower())
+    kept = re.sub(r"[^-\w\s]", "", title.lower())
     return re.sub(r"\s+", "-", kept).strip("-") or "section"
 
 

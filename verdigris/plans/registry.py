@@ -271,10 +271,10 @@ def glossary_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Placeholders.
 
-_ATTRS = r"""\b(?:class|id|href|srcset|src|rel|target|name|for|style|type|role|lang|dir|xml:lang|xmlns|action|method|width|height|data-[\w-]+)\b\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+)"""
+_ATTRS = placeholders.ATTRIBUTE.pattern.replace("'", "''")
 
 
-@query(rf"SELECT page_id, len(regexp_extract_all(html, '(?i){_ATTRS}'))::BIGINT AS n_attrs, len(regexp_extract_all(html, '\{{#[^\s{{}}][^{{}}]*\}}'))::BIGINT AS n_anchors FROM pages")
+@query(rf"SELECT page_id, len(regexp_extract_all(html, '(?i){_ATTRS}'))::BIGINT AS n_attrs, len(regexp_extract_all(html, '{placeholders.ANCHOR.pattern}'))::BIGINT AS n_anchors FROM pages")
 def html_attr_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     attrs = "(?i)" + placeholders.ATTRIBUTE.pattern
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(attrs)).cast("long").alias("n_attrs"), F.regexp_count("html", F.lit(placeholders.ANCHOR.pattern)).cast("long").alias("n_anchors"))

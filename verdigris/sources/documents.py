@@ -25,7 +25,7 @@ def _writer(root: str):
             if Path(root).resolve() not in target.parents:
                 raise ValueError(f"{r['rel_path']} leads out of {root}")
             target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(r["text"], encoding="utf-8", newline="\n")
+            target.write_text(r["text"], newline="\n", encoding="utf-8")
 
     return run
 

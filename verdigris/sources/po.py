@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\"}
+PLAIN = "text/plain; " + "charset=UTF-8"
+_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", '"': '"', "\\": "\\"}
 _FIELD = re.compile(r'(?:#~ )?(msgctxt|msgid|msgstr)?\s*"(.*)"\s*$')
 
 
@@ -25,7 +26,7 @@ def _field(name: str, text: str, mark: str) -> list[str]:
 
 def dumps(entries: list[dict], metadata: dict[str, str] | None = None) -> str:
     """Text of a catalog; entries have msgctxt, msgid, msgstr, flags, tcomment and obsolete."""
-    head = {"Content-Type": "text/plain; charset=UTF-8"} | (metadata or {})
+    head = {"Content-Type": PLAIN} | (metadata or {})
     out = ["\n".join(_field("msgid", "", "") + _field("msgstr", "".join(f"{k}: {v}\n" for k, v in head.items()), ""))]
     for e in entries:
         mark = "#~ " if e.get("obsolete") else ""
@@ -69,7 +70,7 @@ def load_or_create(path: str | None, language: str | None = None) -> tuple[list[
     if path is None:
         raise ValueError("a catalog needs a path")
     entries, metadata = loads(Path(path).read_text(encoding="utf-8")) if Path(path).exists() else ([], {})
-    metadata.setdefault("Content-Type", "text/plain; charset=UTF-8")
+    metadata.setdefault("Content-Type", PLAIN)
     if language:
         metadata.setdefault("Language", language)
     return entries, metadata
@@ -79,7 +80,7 @@ def save(path: str | None, entries: list[dict], metadata: dict[str, str]) -> Non
     if path is None:
         raise ValueError("a catalog needs a path")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(dumps(entries, metadata), encoding="utf-8", newline="\n")
+    Path(path).write_text(dumps(entries, metadata), newline="\n", encoding="utf-8")
 
 
 def rows(doc_id: int, entries: list[dict]) -> list[tuple]:
