@@ -132,6 +132,31 @@ def test_unchanged_documents_ask_nothing_and_one_edit_asks_one(spark):
     assert removed.answers.count() == 0 and removed.catalog.where("doc_id = 1").count() == 2
 
 
+def test_every_result_of_a_run_shares_one_set_of_calls(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def batch(payload):
+        with open(log, "a") as f:
+            f.write("call\n")
+        return translate.echo(payload)
+
+    out = engine.run(docs(spark, "# T\n\nOne.\n"), empty(spark), engine.Config(batch=batch))
+    assert out.documents.count() == 1 and out.catalog.count() == 2 and out.answers.count() == 2 and out.coverage.count() == 2
+    assert open(log).read() == "call\n"
+
+
+def test_refining_comes_before_translating(spark):
+    polished, made = engine.refine_first(docs(spark, "One.\n"), empty(spark), empty(spark), engine.Config(), "en")
+    assert polished.documents.first()["text"] == "[T] One.\n" and made.documents.first()["text"] == "[T] [T] One.\n"
+    with pytest.raises(ValueError):
+        engine.refine_first(docs(spark, "x"), empty(spark), empty(spark), engine.Config(), "")
+
+
+def test_receipt_text():
+    text = usage.rendered({"model": "m", "api_calls": 1200, "input_tokens": 5, "output_tokens": 6, "total_tokens": 11, "input_cost": 0.5, "output_cost": None, "total_cost": None})
+    assert "1,200" in text and "$0.500000" in text and "—" in text
+
+
 def test_failed_validation_leaves_the_entry_fuzzy_and_empty(spark):
     strip = lambda payload: json.dumps({k: v.lstrip("# ") for k, v in json.loads(payload).items()})
     out = engine.run(docs(spark, "# Head\n\nText.\n"), empty(spark), engine.Config(batch=strip, validation="conservative"))

@@ -34,6 +34,17 @@ def receipts(calls: DataFrame, prices: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens")).withColumn("total_cost", F.round(F.col("input_cost") + F.col("output_cost"), 9))
 
 
+def rendered(receipt: dict, width: int = 60) -> str:
+    """One receipt as text; what is unknown shows as a dash."""
+
+    def money(value: float | None) -> str:
+        return "—" if value is None else f"${value:,.6f}"
+
+    lines = [("Model", receipt["model"]), ("Calls", f"{receipt['api_calls']:,}"), ("Input tokens", f"{receipt['input_tokens']:,}  {money(receipt['input_cost'])}")]
+    lines += [("Output tokens", f"{receipt['output_tokens']:,}  {money(receipt['output_cost'])}"), ("Total", f"{receipt['total_tokens']:,}  {money(receipt['total_cost'])}")]
+    return "\n".join(["=" * width, *(f"{k:<16}{v:>{width - 16}}" for k, v in lines), "=" * width])
+
+
 def directory_status(files: DataFrame) -> DataFrame:
     """Adds status to (failed, validation_failed, processed) rows of files."""
     return files.withColumn("status", F.when((F.col("failed") > 0) | (F.col("validation_failed") > 0), "failed").when(F.col("processed") == 0, "skipped").otherwise("processed"))

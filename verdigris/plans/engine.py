@@ -12,6 +12,7 @@ from ..functions.text import issues, unstable
 from ..operators import batching, glossary, placeholders, translate
 from ..operators import catalog as cat
 from ..operators.segment import blocks
+from ..sources.storage import settled
 
 VALIDATION, MODES, GLOSSARY_MODES = ("off", "conservative", "strict"), ("translate", "refine"), ("placeholder", "instruction")
 
@@ -62,7 +63,7 @@ def run(docs: DataFrame, catalog: DataFrame, config: Config) -> Result:
     coded = todo.withColumn("e", placeholders.encode(F.col("msgid"), registry)).withColumn("source", F.col("msgid")).withColumn("msgid", F.col("e.encoded"))
     groups = batching.section_groups(todo, config.batch_size, config.batch_chars).select("doc_id", "msgctxt", "group_no")
     asked = coded.join(groups, ["doc_id", "msgctxt"])
-    raw = translate.translated(asked.select("doc_id", "msgctxt", "msgid", "ord", "group_no"), config.batch, config.single)
+    raw = settled(translate.translated(asked.select("doc_id", "msgctxt", "msgid", "ord", "group_no"), config.batch, config.single))
     both = raw.join(coded.select("doc_id", "msgctxt", "source", F.col("e.map").alias("map")), ["doc_id", "msgctxt"])
     terms = config.glossary or {}
     forms = F.create_map(*[x for k, v in terms.items() for x in (F.lit(k), F.lit(v).cast("string"))]) if terms else F.create_map().cast("map<string,string>")
@@ -83,6 +84,14 @@ def run(docs: DataFrame, catalog: DataFrame, config: Config) -> Result:
     return Result(cat.rebuilt(found, after, docs), after, answers, cat.coverage(found, after, "doc_id", "type"))
 
 
+def refine_first(docs: DataFrame, refined_catalog: DataFrame, catalog: DataFrame, config: Config, language: str) -> tuple[Result, Result]:
+    """Polishes documents in their own language, then translates what came of it; each pass has its own catalog."""
+    if not language:
+        raise ValueError("refining first needs the documents' language")
+    polished = run(docs, refined_catalog, config.refining(language))
+    return polished, run(polished.documents, catalog, config)
+
+
 def run_multi(docs: DataFrame, catalog: DataFrame, batch: translate.BatchCall, languages: list[str], size: int = batching.BATCH_SIZE, chars: int = batching.BATCH_CHARS) -> DataFrame:
     """(lang, catalog columns) after one call for a group that answers in all languages.
 
@@ -99,7 +108,7 @@ def run_multi(docs: DataFrame, catalog: DataFrame, batch: translate.BatchCall, l
     todo = cat.pending(by_lang).select("doc_id", "msgctxt").distinct()
     entries = found.join(todo, ["doc_id", "msgctxt"], "left_semi").select("doc_id", "msgctxt", F.col("text").alias("msgid"), F.col("seq").alias("ord"))
     groups = batching.section_groups(entries, size, chars).select("doc_id", "msgctxt", "group_no").join(entries, ["doc_id", "msgctxt"])
-    answers = translate.translated_multi(groups, batch, wanted)
+    answers = settled(translate.translated_multi(groups, batch, wanted))
     done = by_lang.join(answers, ["doc_id", "msgctxt", "lang"], "left")
     new = F.col("answer").isNotNull()
     return done.select("lang", "doc_id", "ord", "msgctxt", "msgid", F.coalesce("answer", "msgstr").alias("msgstr"), (F.col("fuzzy") & ~new).alias("fuzzy"), "obsolete")
