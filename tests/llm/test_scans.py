@@ -24,6 +24,14 @@ def test_every_license_line_is_found_and_nothing_else(documents, texts):
     assert found == {i for i, t in texts.items() if "licen" in t.lower()}
 
 
+def test_reserved_rights_are_notices_too(documents, texts, make):
+    found = {r["doc_id"] for r in licenses.license_notices(documents).collect()}
+    assert found == {i for i, t in texts.items() if "licen" in t.lower() or "all rights reserved" in t.lower()}
+    full = next(t for name, _, t in licenses.TEMPLATES if name == "Proprietary")
+    rows = licenses.license_notices(make([(1, "One line.\nAll rights reserved.\nAnother."), (2, full), (3, "All the rights of others.")])).collect()
+    assert matched(rows) == [(1, "Proprietary", 3), (2, "Proprietary", 14)]
+
+
 def test_license_notices_of_odd_rows(make):
     apache = licenses.TEMPLATES[4][2]
     cut = apache.split()

@@ -62,6 +62,7 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "copyleft", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("MPL-2.0", "copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "restricted", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
+    ("Proprietary", "restricted", "All rights reserved."),
 ]
 
 _COMMON = set("a all an and any are as at be by can do following for form from in is it list may met must no not of on or that the this to under use with without you your work part terms 0 2 3 4 version v copy conditions above either".split())
