@@ -32,6 +32,49 @@ def test_reserved_rights_are_notices_too(documents, texts, make):
     assert matched(rows) == [(1, "Proprietary", 3), (2, "Proprietary", 14)]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Distributed under the MIT License", ["MIT"]),
+        ("It is available under the MIT License.", ["MIT"]),
+        ("Released under the MIT Licence.", ["MIT"]),
+        ("Released under the ISC License", ["ISC"]),
+        ("Released under the Frog License", []),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-NC-ND 3.0", ["CC-BY-NC-ND-3.0"]),
+        ("Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0.", ["CC-BY-SA-4.0", "CC-BY-4.0"]),
+        ("This work is licensed under the GNU General Public License, version 2. There are 3 parts.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 3. There are 2 parts.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License v3.", ["GPL"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("Licensed under the Apache License 2.0", ["Apache-2.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+        ("Licensed under the Mozilla Public License.", ["MPL"]),
+    ],
+)
+def test_names_of_licenses_must_match(make, text, want):
+    found = licenses.license_notices(make([(1, "A line before.\n" + text + "\nA line after.")])).collect()
+    assert [r["license"] for r in sorted(found, key=lambda r: r["start_word"])] == want
+
+
+def test_key_words_lose_no_near_miss():
+    """Every template with words left out, as many as the coverage allows, has a key word as long as its names stand."""
+    rng = np.random.default_rng(3)
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for t, (name, _, raw, need, naming) in enumerate(scanner.templates):
+        assert need - 1 < licenses.COVERAGE * len(raw) + 1e-6 and need >= licenses.COVERAGE * len(raw) - 1e-6
+        fixed = {j for phrase in naming for j in phrase}
+        free = [j for j in range(len(raw)) if j not in fixed]
+        for _ in range(30):
+            away = set(rng.permutation(free)[: len(raw) - need].tolist())
+            text = [7, 8, *[11 if j in away else x for j, x in enumerate(raw)], 9]
+            assert any(t in scanner.by_key.get(x, []) for x in text), name
+            h = np.array(text, np.uint64)
+            assert scanner.row(h, np.flatnonzero(np.isin(h, scanner.keys))), name
+    assert len(scanner.templates[2][2]) - scanner.templates[2][3] == 12
+
+
 def test_license_notices_of_odd_rows(make):
     apache = licenses.TEMPLATES[4][2]
     cut = apache.split()

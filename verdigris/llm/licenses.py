@@ -4,13 +4,18 @@ A notice is found where a text aligns with a license template: words that occur
 increasing subsequence of anchors is kept, and the gaps between them are aligned in the same way; a gap without unique
 common words is aligned by its longest common subsequence. Coverage is the share of the template's words that match.
 
-Only the neighbourhoods of key words are aligned. A template's key words are its rarest ones, so many that no match of
-the required coverage can do without all of them: leaving the rest of a text out loses no notice.
+The words that name a license must all match, each phrase of NAMING in one piece: coverage alone would take one license
+for another that differs in its name.
+
+Only the neighbourhoods of key words are aligned. A template's key is a naming word that is rare, or else its rarest
+words, so many that no match of the required coverage can do without all of them: leaving the rest of a text out loses
+no notice.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -65,7 +70,51 @@ TEMPLATES = [
     ("Proprietary", "restricted", "All rights reserved."),
 ]
 
-_COMMON = set("a all an and any are as at be by can do following for form from in is it list may met must no not of on or that the this to under use with without you your work part terms 0 2 3 4 version v copy conditions above either".split())
+#: Phrases that a match can't lack, by license or by template; they hold for the templates that contain all of them.
+NAMING = {
+    "MIT": ["mit"],
+    "Licensed under the Apache License, Version 2.0.": ["apache", "2 0"],
+    "GPL-3.0": ["gnu general", "version 3"],
+    "MPL-2.0": ["mozilla", "2 0"],
+}
+
+
+def _more(name: str, kind: str, text: str, *phrases: str) -> None:
+    if (name, kind, text) not in TEMPLATES:
+        TEMPLATES.append((name, kind, text))
+    NAMING[text] = list(phrases)
+
+
+for _name, _kind, _title, *_phrases in [
+    ("ISC", "permissive", "ISC License", "isc"),
+    ("BSD", "permissive", "BSD License", "bsd"),
+    ("Zlib", "permissive", "zlib License", "zlib"),
+    ("BSL-1.0", "permissive", "Boost Software License", "boost"),
+    ("Apache", "permissive", "Apache License", "apache"),
+    ("MPL", "copyleft", "Mozilla Public License", "mozilla"),
+    ("EPL", "copyleft", "Eclipse Public License", "eclipse"),
+]:
+    for _done in ("Released", "Licensed"):
+        _more(_name, _kind, f"{_done} under the {_title}.", *_phrases)
+for _title, _short, _versions in [("General", "GPL", ("2", "3")), ("Lesser General", "LGPL", ("2.1", "3")), ("Affero General", "AGPL", ("3",))]:
+    _phrase = f"gnu {_title}".lower()
+    _more(_short, "copyleft", f"Licensed under the GNU {_title} Public License.", _phrase)
+    _more(_short, "copyleft", TEMPLATES[6][2].replace("General", _title), _phrase)
+    for _version in _versions:
+        _more(f"{_short}-{_version}" + ".0" * ("." not in _version), "copyleft", f"This work is licensed under the GNU {_title} Public License, version {_version}.", _phrase, "version " + _version.replace(".", " "))
+for _parts, _kind, _long in [
+    ("BY", "permissive", "Attribution"),
+    ("BY-SA", "copyleft", "Attribution-ShareAlike"),
+    ("BY-ND", "restricted", "Attribution-NoDerivatives"),
+    ("BY-NC", "restricted", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "restricted", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "restricted", "Attribution-NonCommercial-NoDerivatives"),
+]:
+    for _version in ("4.0", "3.0", "2.5", "2.0", "1.0"):
+        for _form, _text in [(f"CC {_parts} {_version}", "Licensed under {}."), (f"{_long} {_version}", "This work is licensed under a Creative Commons {} International License.")]:
+            _more(f"CC-{_parts}-{_version}", _kind, _text.format(_form), _form.lower().replace("-", " ").replace(".", " "))
+
+_COMMON = set("a all an and any are as at be by can do following for form from in is it list may met must no not of on or that the this to under use with without you your work part terms 0 2 3 4 version v copy conditions above either mit general".split())
 
 
 def hashes(text: str) -> list[int]:
@@ -135,6 +184,31 @@ def align(a: list, b: list, a0: int = 0, b0: int = 0) -> list[tuple[int, int]]:
     return out
 
 
+def _needed(n: int, coverage: float) -> int:
+    """How many of n words make the coverage; rounding of the product doesn't count."""
+    return math.ceil(round(coverage * n, 9))
+
+
+def _naming(name: str, text: str, raw: list[int]) -> list[list[int]]:
+    """The places in a template of each phrase that a match can't lack."""
+    places = []
+    for phrase in NAMING.get(text, NAMING.get(name, [])):
+        part = hashes(phrase)
+        at = next((i for i in range(len(raw) - len(part) + 1) if raw[i : i + len(part)] == part), None)
+        if at is None:
+            return []
+        places.append(list(range(at, at + len(part))))
+    return places
+
+
+def _named(pairs: list[tuple[int, int]], naming: list[list[int]]) -> bool:
+    """Do all naming phrases match, each as neighbouring words of the text?"""
+    if not naming:
+        return True
+    where = {j: i for i, j in pairs}
+    return all(where.get(phrase[0], -1) >= 0 and all(where.get(j) == where[phrase[0]] + k for k, j in enumerate(phrase)) for phrase in naming)
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str, str]], coverage: float):
         self.coverage = coverage
@@ -145,16 +219,19 @@ class Scanner:
             plain = {hashes(w)[0]: w for w in {*"".join(c if c.isalnum() else " " for c in low).split()}}
             count = Counter(raw)
             order = sorted(count, key=lambda h: (plain.get(h, "") in _COMMON, -len(plain.get(h, "")), h))
-            keys, mass = set(), 0
+            need, naming = _needed(len(raw), coverage), _naming(name, text, raw)
+            names = {raw[j] for phrase in naming for j in phrase}
+            rare = [h for h in order if h in names and plain.get(h, "") not in _COMMON]
+            keys, mass = set(rare[:1]), 0
             # Together the key words are more than what a match may lack.
-            for h in order:
-                if mass > len(raw) * (1 - coverage):
+            for h in order if not rare else []:
+                if mass > len(raw) - need:
                     break
                 keys.add(h)
                 mass += count[h]
             for h in keys:
                 self.by_key.setdefault(h, []).append(len(self.templates))
-            self.templates.append((name, kind, raw))
+            self.templates.append((name, kind, raw, need, naming))
         self.keys = np.sort(np.array(list(self.by_key), np.uint64))
 
     def row(self, h: np.ndarray, hits: np.ndarray) -> list[tuple[str, str, int, int, int, float]]:
@@ -165,7 +242,7 @@ class Scanner:
                 near.setdefault(t, []).append(p)
         found = []
         for t, places in near.items():
-            name, kind, raw = self.templates[t]
+            name, kind, raw, need, naming = self.templates[t]
             reach = len(raw) + len(raw) // 2 + 5
             windows: list[list[int]] = []
             for p in places:
@@ -174,13 +251,13 @@ class Scanner:
                     windows[-1][1] = hi
                 else:
                     windows.append([lo, hi])
-            need = self.coverage * len(raw)
-            vocabulary = set(raw)
+            vocabulary, names = set(raw), {raw[j] for phrase in naming for j in phrase}
             for lo, hi in windows:
                 text = h[lo:hi].tolist()
-                if len(vocabulary.intersection(text)) < len(vocabulary) - (len(raw) - need):
+                inside = vocabulary.intersection(text)
+                if len(inside) < len(vocabulary) - (len(raw) - need) or not names <= inside:
                     continue
-                found += [(name, kind, lo + s, lo + e, n, n / len(raw)) for s, e, n in self._notices(text, raw, need)]
+                found += [(name, kind, lo + s, lo + e, n, n / len(raw)) for s, e, n in self._notices(text, raw, need, naming)]
         # Of overlapping notices the one with most matched words stays.
         found.sort(key=lambda x: (-x[4], -x[5], x[2], x[0]))
         kept: list[tuple[str, str, int, int, int, float]] = []
@@ -189,7 +266,7 @@ class Scanner:
                 kept.append(x)
         return sorted(kept, key=lambda x: x[2])
 
-    def _notices(self, text: list, raw: list, need: float) -> list[tuple[int, int, int]]:
+    def _notices(self, text: list, raw: list, need: int, naming: list[list[int]]) -> list[tuple[int, int, int]]:
         """Every stretch of a window that aligns: the window is cut where one template's length of words ends."""
         out, inside, size = [], set(raw), len(raw)
         places = [i for i, x in enumerate(text) if x in inside]
@@ -202,7 +279,7 @@ class Scanner:
             shared = sum((Counter(part) & Counter(raw)).values())
             if shared >= need:
                 pairs = align(part, raw)
-                if len(pairs) >= need:
+                if len(pairs) >= need and _named(pairs, naming):
                     first, last = start + pairs[0][0], start + pairs[-1][0] + 1
                     # A better start may follow: the next words of the template, as long as they stay in reach.
                     nxt = k + 1
@@ -212,14 +289,14 @@ class Scanner:
                         k = nxt - 1 if places[nxt - 1] == first else nxt
                         start = first
                         pairs = align(text[start : start + size + size // 2 + 5], raw)
-                        if len(pairs) < need:
+                        if len(pairs) < need or not _named(pairs, naming):
                             k += 1
                             continue
                         last = start + pairs[-1][0] + 1
                     best = (first, last, len(pairs))
                     for other in range(k + 1, min(k + 1 + size, len(places))):
                         again = align(text[places[other] : places[other] + size + size // 2 + 5], raw)
-                        if len(again) < need or len(again) < best[2]:
+                        if len(again) < need or len(again) < best[2] or not _named(again, naming):
                             break
                         tight = (places[other] + again[0][0], places[other] + again[-1][0] + 1, len(again))
                         if tight[1] - tight[0] < best[1] - best[0]:
