@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +62,9 @@ _SLUG_SQL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\
 
 
 @query(f"WITH s AS (SELECT doc_id, {_SLUG_SQL.format('left(text, 60)')} AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM s")
-def heading_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def heading_slugs(spark: SparkSession, sf_dir: str, text: str = "left(text, 60)") -> DataFrame:
     """Slug of a heading made of a document's first 60 characters."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.left("text", F.lit(60))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.expr(text)).alias("slug"))
 
 
 @query(f"{BASE} SELECT doc_id, path || '::' || type || ':' || idx AS context_id, split_part(split_part(msgctxt, '::', 1), '/', 1) AS section, regexp_extract(msgctxt, '::([^:]*):', 1) AS kind FROM b1")
@@ -260,13 +261,13 @@ def ancestor_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT doc_id, text LIKE '%the%' AS has_term, replace(replace(left(text, 200), 'the', '⟦P:0⟧'), '⟦P:0⟧', CASE lang WHEN 'de' THEN 'das' WHEN 'fr' THEN 'le' ELSE 'the' END) AS decoded FROM documents"""
 )
-def glossary_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def glossary_stamp(spark: SparkSession, sf_dir: str, text: str = "left(text, 200)") -> DataFrame:
     """A term's token is decoded to the language's form, or to the term itself."""
     docs = table(spark, sf_dir, "documents")
     entry = F.struct(F.lit("⟦P:0⟧").alias("token"), F.lit("the").alias("original"), F.lit("glossary").alias("pattern_name"), F.lit(None).cast("string").alias("replacement"))
     forms = F.when(F.col("lang") == "de", F.create_map(F.lit("the"), F.lit("das"))).when(F.col("lang") == "fr", F.create_map(F.lit("the"), F.lit("le"))).otherwise(F.create_map(F.lit("the"), F.lit(None).cast("string")))
-    text = F.replace(F.left("text", F.lit(200)), F.lit("the"), F.lit("⟦P:0⟧"))
-    return docs.select("doc_id", F.contains("text", F.lit("the")).alias("has_term"), placeholders.decode(text, placeholders.stamped(F.array(entry), forms)).alias("decoded"))
+    stamped = F.replace(F.expr(text), F.lit("the"), F.lit("⟦P:0⟧"))
+    return docs.select("doc_id", F.contains("text", F.lit("the")).alias("has_term"), placeholders.decode(stamped, placeholders.stamped(F.array(entry), forms)).alias("decoded"))
 
 
 # Placeholders.
@@ -331,8 +332,8 @@ _PROSE_SQL = "len(list_intersect(regexp_extract_all(lower({0}), '[a-z]+'), [" +
 
 
 @query(f"SELECT doc_id, {_PROSE_SQL.format('left(text, 40)')} AS prose FROM documents")
-def english_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.english_prose(F.left("text", F.lit(40))).alias("prose"))
+def english_prose(spark: SparkSession, sf_dir: str, text: str = "left(text, 40)") -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.english_prose(F.expr(text)).alias("prose"))
 
 
 _SOURCE = "'## ' || left(replace({t}, {nl}, ' '), 30) || ' `a` API'"
@@ -347,8 +348,8 @@ SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 1 THEN 'heading_level' END,
   CASE WHEN NOT regexp_matches(o, '{_KO}') AND (o <> s OR {_PROSE_SQL.format('s')}) THEN 'target_language' END,
   CASE WHEN doc_id % 5 = 2 THEN 'inline_code_count' END) AS issues FROM o"""
 )
-def validate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("s", F.expr(_SOURCE.format(t="text", nl="char(10)"))).withColumn("o", F.expr(_OUTPUT.format(s="s", nl="char(10)")))
+def validate_checks(spark: SparkSession, sf_dir: str, source: str = _SOURCE) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("s", F.expr(source.format(t="text", nl="char(10)"))).withColumn("o", F.expr(_OUTPUT.format(s="s", nl="char(10)")))
     found = tx.issues(F.col("s"), F.col("o"), F.lit("ko-KR"), F.lit(True), F.lit(False), F.array(F.lit("API")))
     return docs.select("doc_id", F.array_join(found, ",").alias("issues"))
 
@@ -430,8 +431,8 @@ _TITLE = "CASE WHEN doc_id % 9 = 0 THEN 'nul' WHEN doc_id % 9 = 1 THEN '??' ELSE
     f"""WITH t AS (SELECT doc_id, {_NAME_SQL.format(_TITLE)} AS n, source FROM documents), u AS (SELECT doc_id, source, {_RESERVED} AS s FROM t)
 SELECT doc_id, CASE WHEN s = '' THEN 'segment-' || left(sha1(source), 8) ELSE s END AS name FROM u"""
 )
-def path_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", paths.segment_name(F.expr(_TITLE), F.col("source")).alias("name"))
+def path_slug(spark: SparkSession, sf_dir: str, title: str = _TITLE) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", paths.segment_name(F.expr(title), F.col("source")).alias("name"))
 
 
 @query(
@@ -475,3 +476,22 @@ def translate_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     todo = cat.pending(corpus.synced(spark, sf_dir))
     groups = batching.section_groups(todo).select("doc_id", "msgctxt", "group_no").join(todo.select("doc_id", "msgctxt", "ord", "msgid"), ["doc_id", "msgctxt"])
     return translate.translated(groups, translate.echo, translate.echo_one).select("doc_id", "msgctxt", "answer")
+
+
+# Whole texts: the queries above whose SQL takes prefixes, with the same SQL on all of each text.
+
+_WHOLE_SOURCE = _SOURCE.replace("left(replace({t}, {nl}, ' '), 30)", "replace({t}, {nl}, ' ')")
+
+
+def whole(name: str, old: str, new: str, **bounds: str) -> None:
+    if old not in ORACLES[name]:
+        raise ValueError(f"{name} has no {old}")
+    QUERIES[f"{name}_whole"] = partial(QUERIES[name], **bounds)
+    ORACLES[f"{name}_whole"] = ORACLES[name].replace(old, new)
+
+
+whole("heading_slugs", "left(text, 60)", "text", text="text")
+whole("glossary_stamp", "left(text, 200)", "text", text="text")
+whole("english_prose", "left(text, 40)", "text", text="text")
+whole("path_slug", "left(text, 24)", "text", title=_TITLE.replace("left(text, 24)", "text"))
+whole("validate_checks", _SOURCE.format(t="text", nl="chr(10)"), _WHOLE_SOURCE.format(t="text", nl="chr(10)"), source=_WHOLE_SOURCE)
