@@ -307,16 +307,16 @@ _MIX = "CASE doc_id % 5 WHEN 0 THEN left(text, 80) WHEN 1 THEN '비밀번호 ' |
 _EN, _JA, _KO, _ZH = "[A-Za-z]", r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}]", r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}]", r"[\x{4E00}-\x{9FFF}]"
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_MIX).alias("t"))
+def _mixed(spark: SparkSession, sf_dir: str, mix: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(mix).alias("t"))
 
 
 @query(
     f"""WITH m AS (SELECT doc_id, {_MIX} AS t FROM documents)
 SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, '{_EN}') THEN 'en' END, CASE WHEN regexp_matches(t, '{_JA}') THEN 'ja' END, CASE WHEN regexp_matches(t, '{_KO}') THEN 'ko' END, CASE WHEN regexp_matches(t, '{_ZH}') THEN 'zh' END) AS languages FROM m"""
 )
-def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir).select("doc_id", F.array_join(tx.languages(F.col("t")), ",").alias("languages"))
+def language_detect(spark: SparkSession, sf_dir: str, mix: str = _MIX) -> DataFrame:
+    return _mixed(spark, sf_dir, mix).select("doc_id", F.array_join(tx.languages(F.col("t")), ",").alias("languages"))
 
 
 @query(
@@ -324,8 +324,8 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT doc_id, len(regexp_extract_all(t, '{_EN}')) AS l, len(regexp_extract_all(t, '{_JA}')) + len(regexp_extract_all(t, '{_ZH}')) AS j, len(regexp_extract_all(t, '{_KO}')) AS k FROM m)
 SELECT doc_id, CASE WHEN GREATEST(l, j, k) = 0 THEN NULL WHEN j >= GREATEST(l, k) THEN 'cjk' WHEN k >= l THEN 'korean' ELSE 'latin' END AS family FROM c"""
 )
-def dominant_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir).select("doc_id", tx.dominant_family(F.col("t")).alias("family"))
+def dominant_script(spark: SparkSession, sf_dir: str, mix: str = _MIX) -> DataFrame:
+    return _mixed(spark, sf_dir, mix).select("doc_id", tx.dominant_family(F.col("t")).alias("family"))
 
 
 _PROSE_SQL = "len(list_intersect(regexp_extract_all(lower({0}), '[a-z]+'), [" + ", ".join(f"'{w}'" for w in tx.PROSE) + "])) > 0"
@@ -361,9 +361,9 @@ c AS (SELECT doc_id, regexp_matches(t, '{_EN}') AS l, regexp_matches(t, '{_JA}|{
 SELECT doc_id, (l OR j OR k) AND (l2 OR j2 OR k2) AND ((l2 AND NOT l) OR (j2 AND NOT j) OR (k2 AND NOT k)
   OR NOT CASE WHEN nj >= GREATEST(nl, nk) THEN j2 WHEN nk >= nl THEN k2 ELSE l2 END) AS unstable FROM c"""
 )
-def language_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+def language_stability(spark: SparkSession, sf_dir: str, mix: str = _MIX) -> DataFrame:
     o = F.expr("CASE doc_id % 4 WHEN 0 THEN t WHEN 1 THEN '한글만' WHEN 2 THEN 'latin' ELSE t || ' 漢' END")
-    return _mixed(spark, sf_dir).select("doc_id", tx.unstable(F.col("t"), o).alias("unstable"))
+    return _mixed(spark, sf_dir, mix).select("doc_id", tx.unstable(F.col("t"), o).alias("unstable"))
 
 
 _RAW = """CASE doc_id % 4 WHEN 0 THEN '{{"a": "' || source || '"}}' WHEN 1 THEN '```json' || {nl} || '{{"a": "' || source || '"}}' || {nl} || '```' WHEN 2 THEN 'Sure! {{"a": "' || source || '"}} Done.' ELSE 'no json' END"""
@@ -480,6 +480,7 @@ def translate_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Whole texts: the queries above whose SQL takes prefixes, with the same SQL on all of each text.
 
+_WHOLE_MIX = "CASE doc_id % 5 WHEN 1 THEN '비밀번호 ' || text WHEN 2 THEN '漢字かな ' || text WHEN 3 THEN '12 34 ! ' || text WHEN 4 THEN '한글 漢字 ' || text ELSE text END"
 _WHOLE_SOURCE = _SOURCE.replace("left(replace({t}, {nl}, ' '), 30)", "replace({t}, {nl}, ' ')")
 
 
@@ -495,3 +496,5 @@ whole("glossary_stamp", "left(text, 200)", "text", text="text")
 whole("english_prose", "left(text, 40)", "text", text="text")
 whole("path_slug", "left(text, 24)", "text", title=_TITLE.replace("left(text, 24)", "text"))
 whole("validate_checks", _SOURCE.format(t="text", nl="chr(10)"), _WHOLE_SOURCE.format(t="text", nl="chr(10)"), source=_WHOLE_SOURCE)
+for _name in ("language_detect", "dominant_script", "language_stability"):
+    whole(_name, _MIX, _WHOLE_MIX, mix=_WHOLE_MIX)
