@@ -198,6 +198,36 @@ def test_gaps_and_inserted_characters_do_not_hide_an_insult(trained):
     assert (value > threshold * 0.8).tolist() == [True] * 5 + [False] * 2
 
 
+def test_digits_and_splits_do_not_hide_an_insult(trained):
+    (machine, threshold), _, _ = trained
+    texts = ["you i9d9i9o9t", "an 1d10t", "the id iot here", "mo ron", "a s9c9u9m", "the ring on", "in 1990 and 2024", "a 17 b 35 c"]
+    value = toxicity.worst(*text_buffer(pa.array(texts)), machine)
+    assert (value > threshold * 0.8).tolist() == [True] * 5 + [False] * 3
+
+
+def test_joined_strings_have_the_kernel_value():
+    rng = np.random.default_rng(4)
+    machine = rng.standard_normal(1 << 18).astype(np.float32)
+    k = np.arange(1 << 18)
+    machine[(k >> 12 == 0) | (k >> 6 & 63 == 0) | (k & 63 == 0)] = 0
+    texts = ["id iot", "st up id", "a bb ccc dddd", "one", "", "x  y\nz9z w"]
+    code, start, end, at = toxicity.strings(*text_buffer(pa.array(texts)))
+    got = {(int(r), round(float(v), 3)) for r, v in zip(*toxicity.joined(code, start, end, at, machine))}
+    want = set()
+    for r in range(len(texts)):
+        for i in range(at[r], at[r + 1]):
+            for j in range(i + 1, min(i + toxicity.WINDOW, at[r + 1])):
+                w = kernel_weights(code[start[i] : end[j]].astype(int).tolist())
+                raw = sum(machine[u] * x for u, x in w.items())
+                if raw > 1e-6:
+                    want.add((r, round(float(raw / np.sqrt(sum(x * x for x in w.values()))), 3)))
+    assert len(got) == len(want) and all(any(r == q and abs(v - u) < 3e-3 for q, u in want) for r, v in got)
+    best, pruned = np.zeros(len(texts)), np.zeros(len(texts))
+    np.maximum.at(best, *toxicity.joined(code, start, end, at, machine))
+    np.maximum.at(pruned, *toxicity.joined(code, start, end, at, machine, np.zeros(len(texts))))
+    assert pruned == pytest.approx(best)
+
+
 def test_toxicity_of_odd_rows(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_scores(make(ODD), none).collect()

@@ -5,8 +5,9 @@ occurrence weighs DECAY to the power of the span that it covers, spans of up to
 between the letters of an insult only widen spans, so "id*iot" and "i d i o t" stay near "idiot". Punctuation and
 spaces take part as gaps alone, digits read as the letters that they stand for.
 
-A sentence is a bag of strings: its tokens, and runs of single letters as one string. The sentence is as toxic as its
-worst string, the document as its worst sentence. Sentences of labelled documents train the machine: all strings of
+A document is a bag of strings: its tokens, runs of single letters as one string, and up to WINDOW neighbouring ones
+joined, so that "id iot" is scored as one. The document is as toxic as its worst string. The machine learns from single
+strings; joined ones take part in the choice of the threshold. Sentences of labelled documents train the machine: all strings of
 clean ones are negative, and of a toxic document those that the current machine holds to be the witnesses are positive,
 in turns. Landmarks are chosen by pivoted Cholesky; since kernel values with fixed landmarks are linear in a string's
 subsequence weights, the whole machine folds into one weight for each of 64**3 subsequences, and scoring a string needs
@@ -27,6 +28,8 @@ from .textnum import U64, fold, prefix, ranges, runs, span, text_buffer, text_sl
 
 SPAN, DECAY = 8, 0.45
 LANDMARKS = 256
+#: So many neighbouring strings at most are also scored as one.
+WINDOW = 4
 #: Bounds of the labelled sample, of each class: the documents with the smallest hashes of doc_id.
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 ROUNDS = 5
@@ -71,10 +74,7 @@ def strings(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     start, end, at = start[keep], end[keep], before[at]
     some = np.flatnonzero(code)
     first, last = np.searchsorted(some, start), np.searchsorted(some, end)
-    # Numbers and keys are no words: more signs must be letters than digits.
-    digits = (buf[(buf & 0xC0) != 0x80] - np.uint8(48)) < 10
-    digits = np.append(0, np.cumsum(digits))
-    keep = (last > first) & (2 * (digits[end] - digits[start]) < letters[end] - letters[start])
+    keep = last > first
     before = np.append(0, np.cumsum(keep))
     return code, some[first[keep]], some[last[keep] - 1] + 1, before[at]
 
@@ -142,14 +142,79 @@ def scores(out: np.ndarray, begin: np.ndarray, machine: np.ndarray) -> np.ndarra
     return value
 
 
+def joined(code: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, machine: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of runs of 2 to WINDOW neighbouring strings of a row, where the value is positive.
+
+    With a floor for each row, runs that can't be the row's highest value beyond it are left out.
+    """
+    n = len(start)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    final = at[1:][row] - 1
+    own = np.repeat(np.arange(n), end - start)
+    where = np.repeat(start, end - start) + ranges(end - start)
+    some = code[where] > 0
+    own, where = own[some], where[some]
+    padded = np.append(code, np.zeros(SPAN, code.dtype)).astype(np.int32)
+    x = [padded[where] << 12, *(padded[where + k] for k in range(1, SPAN))]
+    room = [(end[np.minimum(np.arange(n) + m, final)][own] - where).astype(np.int32) for m in range(WINDOW)]
+    sums = [np.zeros(len(where), np.float32) for _ in range(WINDOW)]
+    squares = [np.zeros(len(where), np.float32) for _ in range(WINDOW)]
+    letter = [(v > 0).astype(np.float32) for v in x]
+    between = np.zeros(len(where), np.float32)
+    for b in range(2, SPAN):
+        part = np.zeros(len(where), np.float32)
+        for a in range(1, b):
+            part += machine[x[0] | x[a] << 6 | x[b]]
+        part *= np.float32(DECAY ** (b + 1))
+        between = between + letter[b - 1]
+        square = between * letter[b] * np.float32(DECAY ** (2 * b + 2))
+        for m in range(WINDOW):
+            inside = room[m] > b
+            sums[m] += part * inside
+            squares[m] += square * inside
+    # Each string's subsequences that end within the string itself, the next one, and so on.
+    sums, squares = [np.bincount(own, v, n) for v in sums], [np.bincount(own, v, n) for v in squares]
+    found = []
+    for m in range(1, WINDOW):
+        k = np.flatnonzero(np.arange(n) + m <= final)
+        raw = sum(sums[m - j][k + j] for j in range(m + 1))
+        # Equal subsequences add up before they are squared, so the norm is no less than this.
+        least = np.sqrt(sum(squares[m - j][k + j] for j in range(m + 1)))
+        up = raw > 1e-9
+        found.append((row[k[up]], start[k[up]], end[k[up] + m], raw[up], 1.001 * raw[up] / np.maximum(least[up], 1e-9)))
+    of, lo, hi, raw, most = (np.concatenate(v) for v in zip(*found))
+
+    def values(which: np.ndarray) -> np.ndarray:
+        out, begin, _, same = distinct(code, lo[which], hi[which])
+        size, norm = np.diff(np.append(begin, len(out) - _PAD)) - _PAD, np.zeros(len(begin))
+        for first in range(0, len(begin), 4096):
+            some = np.arange(first, min(first + 4096, len(begin)))
+            norm[some] = norms(*_selected(out, begin, size, some))
+        return raw[which] / np.maximum(norm[same], 1e-9)
+
+    if floor is None:
+        return of, values(np.arange(len(of)))
+    left = np.flatnonzero(most > floor[of])
+    left = left[np.lexsort((-most[left], of[left]))]
+    head = np.append(True, of[left][1:] != of[left][:-1])[: len(left)]
+    top = left[head]
+    reached = values(top)
+    floor = floor.copy()
+    floor[of[top]] = np.maximum(floor[of[top]], reached)
+    rest = left[~head]
+    rest = rest[most[rest] > floor[of[rest]]]
+    return np.concatenate([of[top], of[rest]]), np.concatenate([reached, values(rest)])
+
+
 def worst(buf: np.ndarray, off: np.ndarray, machine: np.ndarray) -> np.ndarray:
-    """Each row's highest string value; 0 for rows without strings."""
+    """Each row's highest value of a string or of joined ones; 0 for rows without strings."""
     code, start, end, at = strings(buf, off)
     out, begin, _, which = distinct(code, start, end)
     value = np.maximum(scores(out, begin, machine), 0)
     best, full = np.zeros(len(off) - 1), np.flatnonzero(np.diff(at))
     if full.size:
         best[full] = np.maximum.reduceat(value[which], at[:-1][full])
+        np.maximum.at(best, *joined(code, start, end, at, machine, best))
     return best
 
 
@@ -232,6 +297,16 @@ def _first_guess(bags: _Bags, toxic: np.ndarray) -> np.ndarray:
     return guess
 
 
+def _cutoff(best: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold that errs least on the sample; taking a clean document for toxic counts three times."""
+    order = np.argsort(-best, kind="stable")
+    wrong = np.cumsum(np.where(toxic[order] == 1, -1.0, 3.0))
+    edge = np.append(best[order][1:] < best[order][:-1], True)
+    cutoff = int(np.argmin(np.where(edge, wrong, np.inf)))
+    below = best[order][cutoff + 1] if cutoff + 1 < len(best) else 0.0
+    return float((best[order][cutoff] + below) / 2)
+
+
 def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, float]:
     """(machine, threshold) from labelled texts; without both classes nothing is toxic."""
     machine = np.zeros(1 << 18, np.float32)
@@ -301,14 +376,11 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
         value = scores(bags.out, bags.begin, machine)
         value[value <= 0] = -np.inf
         best = bags.best(np.where(np.isfinite(value), value, 0), len(toxic))
-        # The threshold that errs least on the sample; taking a clean document for toxic counts three times.
-        order = np.argsort(-best, kind="stable")
-        wrong = np.cumsum(np.where(toxic[order] == 1, -1.0, 3.0))
-        edge = np.append(best[order][1:] < best[order][:-1], True)
-        cutoff = int(np.argmin(np.where(edge, wrong, np.inf)))
-        below = best[order][cutoff + 1] if cutoff + 1 < len(best) else 0.0
-        threshold = float((best[order][cutoff] + below) / 2)
+        threshold = _cutoff(best, toxic)
         bar = max(threshold, 1e-6)
+    if np.isfinite(threshold):
+        whole = [worst(part, off, machine) for _, _, part, off in text_slices(pa.array(texts, pa.string()), 1 << 20)]
+        threshold = _cutoff(np.concatenate(whole), toxic)
     return machine, threshold
 
 
