@@ -228,6 +228,14 @@ def test_joined_strings_have_the_kernel_value():
     assert pruned == pytest.approx(best)
 
 
+def test_labels_without_documents_use_up_no_sample(spark, make):
+    ids = range(0, 300)
+    docs = make([(k, ("you idiot number " if k % 2 else "the plain ring ") + "abc " * 3) for k in ids])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in [*ids, *range(1_000_000, 1_030_000)]], "doc_id long, quality int, toxic int")
+    machine, threshold = toxicity.fit(toxicity.identified(docs), labels, train_toxic=100, train_clean=100)
+    assert np.isfinite(threshold) and machine.any()
+
+
 def test_toxicity_of_odd_rows(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_scores(make(ODD), none).collect()

@@ -7,9 +7,9 @@ spaces take part as gaps alone, digits read as the letters that they stand for.
 
 A document is a bag of strings: its tokens, runs of single letters as one string, and up to WINDOW neighbouring ones
 joined, so that "id iot" is scored as one. The document is as toxic as its worst string. The machine learns from single
-strings; joined ones take part in the choice of the threshold. Sentences of labelled documents train the machine: all strings of
-clean ones are negative, and of a toxic document those that the current machine holds to be the witnesses are positive,
-in turns. Landmarks are chosen by pivoted Cholesky; since kernel values with fixed landmarks are linear in a string's
+strings; joined ones take part in the choice of the threshold. Labelled documents train the machine: strings of clean ones are
+negative, FIRST_NEGATIVES random ones and in each turn the HARD_NEGATIVES that look worst, and of a toxic document those
+that the current machine holds to be the witnesses are positive. Landmarks are chosen by pivoted Cholesky; since kernel values with fixed landmarks are linear in a string's
 subsequence weights, the whole machine folds into one weight for each of 64**3 subsequences, and scoring a string needs
 lookups only: that is exact, whatever the number of landmarks.
 """
@@ -33,6 +33,10 @@ WINDOW = 4
 #: Bounds of the labelled sample, of each class: the documents with the smallest hashes of doc_id.
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 ROUNDS = 5
+#: Bounds of what a round trains on: random clean strings at first, the hardest clean ones that each round adds, the
+#: positive strings of most documents; and positive and clean strings that landmarks are chosen from.
+FIRST_NEGATIVES, HARD_NEGATIVES, POSITIVES = 2500, 1200, 2500
+POSITIVE_PIVOTS, NEGATIVE_PIVOTS = 600, 1000
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _PAD = SPAN - 1
 
@@ -322,7 +326,7 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
     sizes = np.diff(np.append(bags.begin, len(bags.out) - _PAD)) - _PAD
     rng = np.random.default_rng(seed)
     everyday = np.flatnonzero(clean)
-    negatives = rng.permutation(everyday)[:2500]
+    negatives = rng.permutation(everyday)[:FIRST_NEGATIVES]
     bar = 6.0
     threshold = np.inf
     first = (value >= bar) & (held > 0) & ~clean
@@ -335,9 +339,9 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
         positive &= ~clean
         positive |= first
         pos = np.flatnonzero(positive)
-        pos = pos[np.argsort(-held[pos], kind="stable")][:2500]
+        pos = pos[np.argsort(-held[pos], kind="stable")][:POSITIVES]
         hard = np.flatnonzero(clean & ~positive & np.isfinite(value))
-        hard = hard[np.argsort(-value[hard], kind="stable")][:1200]
+        hard = hard[np.argsort(-value[hard], kind="stable")][:HARD_NEGATIVES]
         negatives = np.concatenate([np.setdiff1d(negatives, hard), hard])
         neg = negatives[~positive[negatives]][::-1]
         use = np.concatenate([pos, neg])
@@ -348,7 +352,7 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
         usable = norm > 0
         weight = weight / np.maximum(norm[who], 1e-12)
         # Pivots come from the positives and as many negatives, the hardest first.
-        pool = np.concatenate([np.flatnonzero(usable[: len(pos)])[:600], len(pos) + np.flatnonzero(usable[len(pos) :])[:1000]])
+        pool = np.concatenate([np.flatnonzero(usable[: len(pos)])[:POSITIVE_PIVOTS], len(pos) + np.flatnonzero(usable[len(pos) :])[:NEGATIVE_PIVOTS]])
         mark = np.full(len(use), -1)
         mark[pool] = np.arange(len(pool))
         seen, column = np.unique(what[mark[who] >= 0], return_inverse=True)
@@ -386,6 +390,8 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
 
 def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, train_clean: int = TRAIN_CLEAN) -> tuple[np.ndarray, float]:
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    # Labels of documents that the table lacks use up nothing of the sample.
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = labels.where("toxic = 1").orderBy(*order).limit(train_toxic).union(labels.where("toxic = 0").orderBy(*order).limit(train_clean))
     # The sample's size is bounded by the two parameters, so it is small enough to broadcast at any scale, and one task
