@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -63,3 +64,15 @@ def test_odd_vectors(spark):
     assert near == [(1, 1, 9), (1, 2, 2), (2, 1, 1), (2, 2, 9), (9, 1, 1), (9, 2, 2)]
     assert cover_tree.close_embeddings(frame(spark, [])).count() == 0
     assert curve_neighbours.nearest(frame(spark, [])).count() == 0
+
+
+def test_planted_close_pairs_match_the_sql(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 64))
+    x = np.concatenate([x, x[:60] + rng.standard_normal((60, 64)) * rng.choice([0.05, 0.2, 0.3, 0.4], (60, 1))]).astype(np.float32)
+    frame(spark, enumerate(x.tolist())).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {(a, b) for a, b, _ in con.execute(cover_tree.oracle()).fetchall()}
+    rows = cover_tree.op9_cover_tree_pairs(spark, str(tmp_path)).collect()
+    assert 20 < len(want) < 60 and {(r["vec_a"], r["vec_b"]) for r in rows} == want
