@@ -1,11 +1,13 @@
 """Nearest neighbours by shifted space-filling curves.
 
-Vectors are projected to few orthogonal directions, shifted, and put in Hilbert order, for several projections and
-shifts; each order is range-partitioned and cut into blocks, and a vector's window is its own block and the two beside
-it. The windows' candidates merge into a first answer. Then every vector looks at those blocks of the first order that
-can still hold something better: the distance from its projection to a block's bounding box never exceeds the distance
-to any vector inside. The answer is therefore exact where the curve leaves gaps; the closer the data lie to few
-dimensions, the fewer blocks are opened.
+Queries are a stated part of the vectors (every row whose id EVERY divides), against all of them. Vectors are projected
+to few orthogonal directions, shifted, and put in Hilbert order, for several projections and shifts; each order is
+range-partitioned and cut into blocks, and a query's window is its own block and the two beside it. The windows'
+candidates merge and are ranked again by their true cosines, which gives a first answer and a bar for what can better
+it. Then every query looks at those blocks of the first order that can still hold something better: the distance from
+its projection to a block's bounding box never exceeds the distance to any vector inside. The answer is therefore exact
+where the curve leaves gaps; the closer the data lie to few dimensions, the fewer blocks are opened. Only queries
+travel to blocks; every vector is sent once for an ordering, and once to its block for each QUERIES queries.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from .vectors import matrix, unit_vectors
 NEIGHBOURS = 10
 ORDERINGS = 3
 DIMS, BITS = 8, 7
-WINDOW_BLOCK = 256
-SCAN_BLOCK = 4096
-GROUP = 8
+WINDOW_BLOCK = 512
+SCAN_BLOCK = 16384
+#: The query rows: those whose vec_id this divides.
+EVERY = 50
+#: So many queries look at a block together.
+QUERIES = 32768
 
 
 def directions(dim: int, dims: int, ordering: int) -> np.ndarray:
@@ -98,16 +103,6 @@ def best_of(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
 
 
-def _window(k: int):
-    def run(t: pa.Table) -> pa.Table:
-        ids, x = t["vec_id"].to_numpy(), matrix(t["vector"])
-        q = np.flatnonzero(t["asks"].to_numpy(zero_copy_only=False).astype(bool))
-        i, j, sim = best_of(x[q], ids[q], x, ids, k, np.full(len(q), -2.0))
-        return pa.table({"vec_id": ids[q][i], "neighbour_id": ids[j], "similarity": sim})
-
-    return run
-
-
 def _boxes(view: np.ndarray):
     def run(t: pa.Table) -> pa.Table:
         p = matrix(t["vector"]) @ view
@@ -117,34 +112,37 @@ def _boxes(view: np.ndarray):
 
 
 def _visits(low: np.ndarray, high: np.ndarray, view: np.ndarray):
-    """A row for each block whose box is nearer than the vector's k-th neighbour so far."""
+    """A row for each block whose box is nearer than the query's k-th neighbour so far."""
+    step = max((1 << 21) // max(len(low), 1), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("vector"))
             bar = batch.column("bar").to_numpy(zero_copy_only=False)
-            for lo in range(0, len(x), 1024):
-                p = x[lo : lo + 1024] @ view
+            for lo in range(0, len(x), step):
+                p = x[lo : lo + step] @ view
                 away = np.zeros((len(p), len(low)))
                 for c in range(p.shape[1]):
                     gap = np.maximum(np.maximum(low[:, c] - p[:, c : c + 1], p[:, c : c + 1] - high[:, c]), 0)
                     away += gap * gap
                 # Squared distance of unit vectors: 2 - 2 cosine.
-                row, block = np.nonzero(away <= (2 - 2 * bar[lo : lo + 1024] + 1e-9)[:, None])
+                row, block = np.nonzero(away <= (2 - 2 * bar[lo : lo + step] + 1e-9)[:, None])
                 take = pa.array(row + lo)
-                yield pa.record_batch([batch.column("vec_id").take(take), batch.column("vector").take(take), batch.column("bar").take(take), pa.array(block.astype(np.int64)), batch.column("block").take(take), pa.array(np.ones(len(row), bool))], names=["vec_id", "vector", "bar", "block", "source", "asks"])
+                yield pa.record_batch([*(batch.column(c).take(take) for c in ("vec_id", "vector", "bar", "group")), pa.array(block.astype(np.int64)), pa.array(np.ones(len(row), bool))], names=["vec_id", "vector", "bar", "group", "block", "asks"])
 
     return run
 
 
-def _scan(k: int):
+def _scan(k: int, barred: bool = True):
+    """The k best of a block's vectors for each query that looks at it."""
+
     def run(t: pa.Table) -> pa.Table:
         ids, x = t["vec_id"].to_numpy(), matrix(t["vector"])
         asks = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
         q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(q) or not len(d):
             return pa.table({"vec_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        i, j, sim = best_of(x[q], ids[q], x[d], ids[d], k, t["bar"].to_numpy(zero_copy_only=False)[q])
+        i, j, sim = best_of(x[q], ids[q], x[d], ids[d], k, t["bar"].to_numpy(zero_copy_only=False)[q] if barred else np.full(len(q), -2.0))
         return pa.table({"vec_id": ids[q][i], "neighbour_id": ids[d][j], "similarity": sim})
 
     return run
@@ -158,34 +156,40 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, orderings: int = ORDERINGS) -> DataFrame:
-    """(vec_id, rank, neighbour_id, similarity): the k vectors of largest cosine for every vector, itself excluded.
+def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, orderings: int = ORDERINGS, every: int = EVERY, windows_only: bool = False) -> DataFrame:
+    """(vec_id, rank, neighbour_id, similarity): the k vectors of largest cosine for every query, itself excluded.
 
-    Equal cosines (to 9 places) rank by neighbour_id. Vectors of different lengths are never neighbours. Rows that
-    unit_vectors() leaves out neither ask nor answer; a vector with fewer than k others gets them all; an empty table
-    gives no rows.
+    Queries are the vectors whose vec_id the given number divides; all vectors answer. Equal cosines (to 9 places) rank
+    by neighbour_id. Vectors of different lengths are never neighbours. Rows that unit_vectors() leaves out neither ask
+    nor answer; a query with fewer than k others gets them all; an empty table, or one without queries, gives no rows.
+    With windows_only the blocks beyond the windows are not opened: that is the index by itself, whose recall the tests
+    measure.
     """
-    vectors = cut(unit_vectors(embeddings))
+    vectors = cut(unit_vectors(embeddings).withColumn("query", F.col("vec_id") % every == 0))
     out = None
-    for dim in sorted(r["dim"] for r in vectors.select("dim").distinct().collect()):
+    for dim in sorted(r["dim"] for r in vectors.where("query").select("dim").distinct().collect()):
         mine = vectors.where(F.col("dim") == dim)
         placed = cut(ranked(mine.mapInArrow(_keys(dim, orderings), "ordering int, key long, vec_id long, vector binary")))
-        near = placed.withColumn("own", F.floor(F.col("place") / WINDOW_BLOCK)).withColumn("block", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-        near = near.withColumn("asks", F.col("block") == F.col("own")).select("ordering", "block", "vec_id", "vector", "asks")
-        first = cut(_top(near.groupBy("ordering", "block").applyInArrow(_window(k), _FOUND), k).drop("rank"))
-        bar = first.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(F.lit(-1.0)).alias("bar"))
-
-        data = placed.where("ordering = 0").withColumn("block", F.floor(F.col("place") / SCAN_BLOCK)).select("vec_id", "vector", "block")
-        view = directions(dim, DIMS, 0)
-        # One box for SCAN_BLOCK vectors: 128 bytes each.
-        found = data.groupBy("block").applyInArrow(_boxes(view), "block long, low array<double>, high array<double>").orderBy("block").collect()
-        low, high = np.array([r["low"] for r in found]), np.array([r["high"] for r in found])
-        asks = data.join(bar, "vec_id", "left").withColumn("bar", F.coalesce("bar", F.lit(-1.0)))
-        asks = asks.mapInArrow(_visits(low, high, view), "vec_id long, vector binary, bar double, block long, source long, asks boolean").withColumn("group", F.floor(F.col("source") / GROUP))
-        groups = F.sequence(F.lit(0), F.lit((len(found) - 1) // GROUP)).cast("array<long>")
-        held = data.select("vec_id", "vector", F.lit(0.0).alias("bar"), "block", F.lit(0).cast("long").alias("source"), F.lit(False).alias("asks"), F.explode(groups).alias("group"))
-        more = asks.unionByName(held).groupBy("block", "group").applyInArrow(_scan(k), _FOUND)
-        part = _top(first.union(more), k)
+        placed = placed.withColumn("own", F.floor(F.col("place") / WINDOW_BLOCK))
+        queries = placed.where(F.col("vec_id") % every == 0)
+        asking = queries.withColumn("block", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).withColumn("asks", F.lit(True))
+        near = placed.withColumnsRenamed({"own": "block"}).withColumn("asks", F.lit(False)).select("ordering", "block", "vec_id", "vector", "asks")
+        near = near.union(asking.select("ordering", "block", "vec_id", "vector", "asks"))
+        first = cut(_top(near.groupBy("ordering", "block").applyInArrow(_scan(k, False), _FOUND), k).drop("rank"))
+        part = _top(first, k)
+        if not windows_only:
+            bar = first.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(F.lit(-1.0)).alias("bar"))
+            data = placed.where("ordering = 0").withColumn("block", F.floor(F.col("place") / SCAN_BLOCK)).select("vec_id", "vector", "block")
+            view = directions(dim, DIMS, 0)
+            # One box for SCAN_BLOCK vectors: 128 bytes each.
+            found = data.groupBy("block").applyInArrow(_boxes(view), "block long, low array<double>, high array<double>").orderBy("block").collect()
+            low, high = np.array([r["low"] for r in found]), np.array([r["high"] for r in found])
+            asks = data.where(F.col("vec_id") % every == 0).drop("block").join(bar, "vec_id", "left").withColumn("bar", F.coalesce("bar", F.lit(-1.0)))
+            groups = max(-(-asks.count() // QUERIES), 1)
+            asks = asks.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups).cast("long")))
+            asks = asks.mapInArrow(_visits(low, high, view), "vec_id long, vector binary, bar double, group long, block long, asks boolean")
+            held = data.select("vec_id", "vector", F.lit(0.0).alias("bar"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), "block", F.lit(False).alias("asks"))
+            part = _top(first.union(asks.unionByName(held).groupBy("block", "group").applyInArrow(_scan(k), _FOUND)), k)
         out = part if out is None else out.union(part)
     if out is None:
         out = embeddings.sparkSession.createDataFrame([], "vec_id long, neighbour_id long, similarity double, rank int")
@@ -193,15 +197,15 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, orderings: int = ORDERIN
 
 
 def op10_shifted_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """similarity is rounded to 6 places."""
+    """The 10 nearest of every row whose vec_id 50 divides; similarity is rounded to 6 places."""
     return nearest(table(spark, sf_dir, "embeddings")).withColumn("similarity", F.round("similarity", 6))
 
 
-def oracle(k: int = NEIGHBOURS) -> str:
+def oracle(k: int = NEIGHBOURS, every: int = EVERY) -> str:
     return f"""
 WITH v AS (SELECT vec_id, MIN(CAST(embedding AS DOUBLE[])) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY vec_id),
 p AS (
   SELECT a.vec_id, b.vec_id AS neighbour_id, ROUND(list_cosine_similarity(a.e, b.e), 9) AS similarity
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+  FROM v a JOIN v b ON a.vec_id % {every} = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour_id) AS rank FROM p)
 SELECT vec_id, rank, neighbour_id, ROUND(similarity, 6) AS similarity FROM r WHERE rank <= {k}"""
