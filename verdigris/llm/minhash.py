@@ -2,9 +2,10 @@
 
 A document is the multiset of its folded word shingles; a shingle's weight is its count. For every shingle, weights
 are covered by the dyadic blocks [0,1), [1,2), [2,4), [4,8) ...; each block carries a Poisson process in time whose
-rate is the block's width. A block that lies below the weight gives all its points; the block that holds the weight is
-split hierarchically in halves, a point going to either half with equal chance, and only points that come to lie below
-the weight count. Every point names one register, which keeps the earliest time it sees. A register's winner is then a
+rate is the block's width. A block that lies below the weight gives all its points. The block that holds the weight is
+split in halves again and again: a point goes to either half with equal chance, one in a half that lies below the
+weight counts, one in a half beyond it goes, and the half that holds the weight is split further. Every point names one
+register, which keeps the earliest time it sees. A register's winner is then a
 uniform point of the weighted set, so two registers agree with the probability of the weighted Jaccard similarity.
 Points later than a time that fills the registers with near certainty are not made; rows with an empty register get
 more time until none is empty, so the signature is exact.
@@ -48,6 +49,24 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def below(h: np.ndarray, low: int, width: int, weight: np.ndarray) -> np.ndarray:
+    """Which points of the block [low, low + width) lie below their weight: halves of the block until that is settled.
+
+    The bits of h are the point's halvings. A weight that the whole block lies below needs none of them.
+    """
+    inside = weight >= low + width
+    open_, base, bit = np.flatnonzero(~inside), np.full(len(h), low, np.int64), 0
+    while width > 1 and open_.size:
+        width >>= 1
+        bit += 1
+        right = (h[open_] >> U64(64 - bit)) & U64(1) == 1
+        base[open_] += np.where(right, width, 0)
+        under, beyond = base[open_] + width <= weight[open_], base[open_] >= weight[open_]
+        inside[open_[under]] = True
+        open_ = open_[~under & ~beyond]
+    return inside
+
+
 def bag_signatures(rows: int, row: np.ndarray, key: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
     """rows x m registers, each the hash of its earliest point; rows without shingles get zeros."""
     out = np.zeros((rows, m), U64)
@@ -74,10 +93,8 @@ def bag_signatures(rows: int, row: np.ndarray, key: np.ndarray, weight: np.ndarr
                     break
                 h = mix(seed[live] + U64((step * 0x9E3779B97F4A7C15 + 2) % 2**64))
                 step += 1
-                # The path of halvings is the point's place in the block, in units of the discretisation.
-                place = low + ((h >> U64(40)) & U64(width - 1)).astype(np.int64)
-                inside = live[place < w[live]]
-                h = h[place < w[live]]
+                some = below(h, low, width, w[live])
+                inside, h = live[some], mix(h[some])
                 times.append(t[inside])
                 hashes.append(h)
                 regs.append((h & U64(0xFFFFFFFF)).astype(np.int64) * m >> 32)
@@ -116,16 +133,17 @@ def _sketch(bands: int, rows: int, size: int):
                     c = np.append(U64(0), np.cumsum(v))
                     sums[k] = c[at[1:]] - c[at[:-1]]
                 total = np.bincount(row, n, hi - lo).astype(np.int64)
+                bag = mix(mix(sums[0]) + sums[1] + mix(total.astype(U64)))
                 yield pa.record_batch(
-                    [batch.column("doc_id")[lo:hi], pa.array(signed(sums[0])), pa.array(signed(sums[1])), pa.array(total), binary_array(band.view(np.uint8).reshape(-1), np.full(hi - lo, 8 * bands))],
-                    names=["doc_id", "c1", "c2", "total", "bands"],
+                    [batch.column("doc_id")[lo:hi], batch.column("body")[lo:hi], pa.array(signed(bag)), pa.array(total), binary_array(band.view(np.uint8).reshape(-1), np.full(hi - lo, 8 * bands))],
+                    names=["doc_id", "body", "bag_id", "total", "bands"],
                 )
 
     return run
 
 
 def _bags(size: int):
-    """Each document's multiset, as sorted 32-bit shingle hashes with their counts."""
+    """Each text's multiset, as sorted 32-bit shingle hashes with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +151,7 @@ def _bags(size: int):
                 row, key, n = shingles(buf, off, size)
                 small = np.empty((len(key), 2), np.uint32)
                 small[:, 0], small[:, 1] = key >> U64(32), n
-                yield pa.record_batch([batch.column("doc_id")[lo:hi], binary_array(small.reshape(-1).view(np.uint8), 8 * np.bincount(row, minlength=hi - lo))], names=["doc_id", "bag"])
+                yield pa.record_batch([batch.column("bag_id")[lo:hi], binary_array(small.reshape(-1).view(np.uint8), 8 * np.bincount(row, minlength=hi - lo))], names=["bag_id", "bag"])
 
     return run
 
@@ -170,48 +188,74 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    left, right = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
+    left, right = bags.select(F.col("bag_id").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("bag_id").alias("b"), F.col("bag").alias("bag_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+def grouped(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, body, kept_doc_id, kept_body) of every text of a group that isn't the group's kept one.
+
+    body is the hash of the text: a doc_id whose rows hold different texts is as many members of groups. Equal
+    multisets are one node of the graph, whatever the number of their documents, so no row ever holds a group's ids.
+    """
+    docs = identified(docs).withColumn("body", F.xxhash64("text"))
+    sketches = docs.mapInArrow(_sketch(bands, rows, shingle), "doc_id long, body long, bag_id long, total long, bands binary").where("total > 0")
+    first = F.min(F.struct("doc_id", "body")).alias("least")
+    # Both aggregates fold copies before they are shuffled: a bag of a million documents is one row of each map task.
+    members = cut(sketches.groupBy("doc_id", "body", "bag_id", "total").agg(F.first("bands").alias("bands")))
+    one = cut(members.groupBy("bag_id").agg(first, F.max("total").alias("total"), F.first("bands").alias("bands")))
+
+    place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8))))
+    spots = one.select("bag_id", "total", place.alias("bucket"))
+    # Buckets of one bag are most of all; they go before their rows are sorted.
+    heads = spots.groupBy("bucket").agg(F.min("bag_id").alias("head"), F.max("bag_id").alias("last")).where("head < last")
+    banded = cut(spots.join(heads.select("bucket", "head"), "bucket"))
+    near = banded.select("bag_id").distinct()
+    texts = one.join(near, "bag_id", "left_semi").select("bag_id", F.col("least.doc_id").alias("doc_id"), F.col("least.body").alias("body"))
+    bags = cut(docs.join(texts, ["doc_id", "body"]).dropDuplicates(["bag_id"]).select("bag_id", "text").mapInArrow(_bags(shingle), "bag_id long, bag binary"))
+    star = cut(_verified(banded.where("bag_id <> head").select(F.col("bag_id").alias("a"), F.col("head").alias("b")).distinct(), bags))
+
+    failed = star.where(F.col("similarity") < threshold).select(F.col("a").alias("bag_id"), F.col("b").alias("head"))
+    rest = banded.join(failed, ["bag_id", "head"], "left_semi").select("bucket", F.col("bag_id").alias("a"), F.col("total").alias("na"))
+    more = rest.join(banded.where("bag_id <> head").select("bucket", F.col("bag_id").alias("b"), F.col("total").alias("nb")), "bucket")
+    # The smaller bag over the larger one is the most that two multisets can have in common.
+    more = more.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = star.union(_verified(more, bags)).where(F.col("similarity") >= threshold).select("a", "b")
+    roots = components(links, "a", "b").select(F.col("node").alias("bag_id"), "root")
+    classes = cut(one.join(roots, "bag_id", "left").select("bag_id", "least", F.coalesce("root", "bag_id").alias("root")))
+    kept = classes.groupBy("root").agg(F.min("least").alias("kept"))
+    of = classes.join(kept, "root").select("bag_id", "kept")
+    found = members.select("doc_id", "body", "bag_id").join(of, "bag_id")
+    return found.select("doc_id", "body", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.body").alias("kept_body")).where("doc_id <> kept_doc_id OR body <> kept_body")
+
+
+def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, kept_doc_id): every document of a group of near-duplicates but its smallest doc_id.
 
     Two documents are linked when they share a band and the weighted Jaccard similarity of their shingle multisets is
     at least the threshold; groups are the connected components. Copies with equal multisets fold to one before
-    banding. In a bucket all are compared with its smallest member; members that fail there are then compared with the
-    whole bucket, so every link between members is found or already implied.
+    banding. In a bucket all are compared with one member; members that fail there are then compared with all of the
+    bucket that their sizes allow, so every link between members is found or already implied.
 
     Null and empty texts, and texts without a word, have no shingle and are never grouped. Rows with a null doc_id are
-    left out. Repeated rows of one doc_id count as one document (the smallest content hash stands for differing texts).
-    Texts of any length are used whole; ties go to the smallest doc_id. An empty table gives no rows.
+    left out. Repeated rows of one doc_id and text count as one document; different texts of one doc_id are members of
+    their own groups, and what links two texts of one doc_id alone is no row. Texts of any length are used whole; ties
+    go to the smallest doc_id. An empty table gives no rows.
     """
-    docs = identified(docs)
-    sketches = docs.mapInArrow(_sketch(bands, rows, shingle), "doc_id long, c1 long, c2 long, total long, bands binary").where("total > 0")
-    one = sketches.groupBy("c1", "c2", "total").agg(F.min_by("bands", "doc_id").alias("bands"), F.collect_set("doc_id").alias("ids"))
-    one = cut(one.select(F.array_min("ids").alias("rep"), "ids", "bands"))
-    copies = one.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("rep").alias("b")).where("a <> b")
-
-    place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8))))
-    banded = one.select("rep", place.alias("bucket")).withColumn("first", F.min("rep").over(Window.partitionBy("bucket"))).withColumn("n", F.max("rep").over(Window.partitionBy("bucket"))).where("first <> n").drop("n")
-    banded = cut(banded)
-    bags = docs.mapInArrow(_bags(shingle), "doc_id long, bag binary")
-    near = banded.select(F.col("rep").alias("doc_id")).distinct()
-    bags = cut(bags.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    star = cut(_verified(banded.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), bags))
-
-    failed = star.where(F.col("similarity") < threshold).select(F.col("a").alias("rep"), F.col("b").alias("first"))
-    rest = banded.join(failed, ["rep", "first"], "left_semi").select("bucket", F.col("rep").alias("a"))
-    more = rest.join(banded.where("rep <> first").select("bucket", F.col("rep").alias("b")), "bucket").where("a <> b")
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = star.union(_verified(more, bags)).where(F.col("similarity") >= threshold).select("a", "b").union(copies)
-    return components(links, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
+    return grouped(docs, **params).where("doc_id <> kept_doc_id").select("doc_id", "kept_doc_id").distinct()
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """documents without those that near_duplicates() maps to a smaller doc_id; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, **params).select(F.col("doc_id").alias("near_duplicate_id"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["near_duplicate_id"], "left_anti")
+    """documents with one text of each group: the one of the smallest doc_id, then of the smallest text hash.
+
+    A row goes only if its own text was grouped: another text under the same doc_id stays. Rows that repeat the kept
+    doc_id and text all stay, as do null, empty and wordless texts and rows with a null doc_id. An empty table stays
+    empty.
+    """
+    gone = grouped(docs, **params).select(F.col("doc_id").alias("gone_doc_id"), F.col("body").alias("gone_body"))
+    same = (docs["doc_id"].cast("long") == gone["gone_doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["gone_body"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
