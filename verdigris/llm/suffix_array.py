@@ -3,9 +3,12 @@
 Every window of MIN_WORDS words is owned by its minimizer, the leftmost of its smallest-hash k-grams, so all
 occurrences of a repeated window meet under one k-gram, in one partition. Minimizers whose documents are all the same
 cannot repeat across documents and drop out; occurrences whose whole neighbourhood (all windows owned) is equal fold to
-one. What remains is cut out of the texts, and each partition builds a suffix array over its neighbourhoods by
+one before they are shuffled. What remains is cut out of the texts, and each partition builds a suffix array over its neighbourhoods by
 two-stage sorting: only suffixes smaller than their successors are sorted directly; the others are induced by scanning
 the buckets from left to right. Common prefixes of adjacent suffixes then give the repeated windows.
+
+A minimizer with more neighbourhoods than one array holds is not sorted in one task: its windows fold by their hashes,
+which gives the same windows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from .textnum import U64, binary_array, fold, mix, prefix, ranges, signed, span,
 
 MIN_WORDS = 50
 GRAM = 12
-#: Symbols of one suffix array; neighbourhoods of one minimizer are never parted.
+#: Symbols of one suffix array; neighbourhoods of one minimizer are never parted, and beyond so many it is done by hashes.
 SYMBOLS = 400_000
 
 
@@ -61,17 +64,18 @@ def minimizers(h: np.ndarray, at: np.ndarray, size: int, gram: int) -> tuple[np.
 def _occurrences(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for lo, hi, buf, off in text_slices(batch.column("text"), 1 << 21):
+            ids, bodies = batch.column("doc_id"), batch.column("body")
+            for lo, hi, buf, off in text_slices(batch.column("text")):
                 h, _, _, at = words(buf, off)
                 row, gram_hash, near, begin, count = minimizers(h, at, size, gram)
-                yield pa.record_batch([pa.array(signed(gram_hash)), pa.array(signed(near)), ids.take(pa.array(row + lo)), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["gram", "near", "doc_id", "start", "windows"])
+                take = pa.array(row + lo)
+                yield pa.record_batch([pa.array(signed(gram_hash)), pa.array(signed(near)), ids.take(take), bodies.take(take), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["gram", "near", "doc_id", "body", "start", "windows"])
 
     return run
 
 
 def _cut_out(size: int):
-    """Word hashes of the wanted neighbourhoods of each text; a text that doesn't hold one gives none for it."""
+    """Word hashes of the wanted neighbourhoods of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +87,6 @@ def _cut_out(size: int):
                 use = np.arange(bounds[lo], bounds[hi])
                 row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
                 start, count = flat["start"][use].astype(np.int64), flat["windows"][use].astype(np.int64)
-                fits = start + count - 1 + size <= np.diff(at)[row]
-                use, row, start, count = use[fits], row[fits], start[fits], count[fits]
                 length = count - 1 + size
                 inside = np.repeat(at[row] + start, length) + ranges(length)
                 small = (h[inside] >> U64(32)).astype(np.uint32)
@@ -93,6 +95,27 @@ def _cut_out(size: int):
     return run
 
 
+def _hashed_windows(size: int):
+    """Each window of the wanted neighbourhoods: its hash, its document, and which window of which neighbourhood."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column("wanted")
+            bounds = wanted.offsets.to_numpy()
+            flat = {f.name: wanted.values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(wanted.type.value_type)}
+            for lo, hi, buf, off in text_slices(batch.column("text")):
+                h, _, _, at = words(buf, off)
+                use = np.arange(bounds[lo], bounds[hi])
+                row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
+                count = flat["windows"][use].astype(np.int64)
+                offset = ranges(count)
+                begin = np.repeat(at[row] + flat["start"][use], count) + offset
+                which = np.repeat(use, count)
+                yield pa.record_batch([pa.array(signed(span(prefix(h), begin, begin + size))), *(pa.array(flat[c][which], pa.int64()) for c in ("gram", "near", "least", "most")), pa.array(offset.astype(np.int32))], names=["window", "gram", "near", "least", "most", "bit"])
+
+    return run
+
+
 def two_stage(text: np.ndarray) -> np.ndarray:
     """Suffix array of positive symbols with zeros as ends, the last one included; equal suffixes keep no set order.
 
@@ -246,36 +269,54 @@ def _intervals(size: int):
             row, low = np.nonzero(edge == 1)
             _, high = np.nonzero(edge == -1)
             take = pa.array(row)
-            yield pa.record_batch([batch.column("doc_id").take(take), batch.column("first_doc_id").take(take), pa.array((start[row] + low).astype(np.int32)), pa.array((start[row] + high - 1 + size).astype(np.int32))], names=["doc_id", "first_doc_id", "start_word", "end_word"])
+            yield pa.record_batch([*(batch.column(c).take(take) for c in ("doc_id", "body", "first_doc_id")), pa.array((start[row] + low).astype(np.int32)), pa.array((start[row] + high - 1 + size).astype(np.int32))], names=["doc_id", "body", "first_doc_id", "start_word", "end_word"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def _wanted(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """The text that stands for each neighbourhood, with what to take out of it."""
+    rows = near.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.body").alias("body"), F.struct("gram", "near", "least", "most", F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows")).alias("w"))
+    texts = docs.join(rows.groupBy("doc_id", "body").agg(F.collect_list("w").alias("wanted")), ["doc_id", "body"])
+    return texts.dropDuplicates(["doc_id", "body"]).select("text", "wanted")
+
+
+def passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, symbols: int = SYMBOLS) -> DataFrame:
+    """(doc_id, body, first_doc_id, start_word, end_word): repeated_passages() by doc_id and hash of the text."""
+    docs = identified(docs).withColumn("body", F.xxhash64("text"))
+    found = docs.mapInArrow(_occurrences(min_words, gram), "gram long, near long, doc_id long, body long, start int, windows int")
+    # Sums by minimizer and by neighbourhood are partly made before the shuffle: a hot one is a row of each map task.
+    grams = found.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("near") < F.max("near")).alias("other")).where("low < high")
+    found = cut(found.join(grams.drop("high"), "gram"))
+    near = found.where("other").groupBy("gram", "near").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "body", "start", "windows")).alias("rep"))
+    near = cut(near)
+    held = near.groupBy("gram").agg(F.sum(F.col("rep.windows") + (min_words - 1)).alias("held"))
+    hot = held.where(F.col("held") > symbols).select("gram")
+
+    # Neighbourhoods that are the only one of their minimizer repeat as a whole, without a sort.
+    whole = found.where("NOT other").select("doc_id", "body", F.col("low").alias("first_doc_id"), "start", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
+    pieces = _wanted(docs, near.join(hot, "gram", "left_anti")).mapInArrow(_cut_out(min_words), "gram long, near long, least long, most long, windows int, words binary")
+    masks = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_arrays(min_words), "gram long, near long, first_doc_id long, mask long")
+    windows = cut(_wanted(docs, near.join(hot, "gram", "left_semi")).mapInArrow(_hashed_windows(min_words), "window long, gram long, near long, least long, most long, bit int"))
+    shared = windows.groupBy("window").agg(F.min("least").alias("first_doc_id"), F.max("most").alias("last")).where("first_doc_id < last").drop("last")
+    more = windows.join(shared, "window").groupBy("gram", "near", "first_doc_id").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+    parts = found.where("other").select("gram", "near", "doc_id", "body", "start").join(masks.union(more), ["gram", "near"]).select("doc_id", "body", "first_doc_id", "start", "mask")
+    covered = whole.union(parts).mapInArrow(_intervals(min_words), "doc_id long, body long, first_doc_id long, start_word int, end_word int")
+    return merged(covered, ["doc_id", "body", "first_doc_id"])
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, symbols: int = SYMBOLS) -> DataFrame:
     """(doc_id, first_doc_id, start_word, end_word, n_words) of passages that several documents share.
 
     A passage is a maximal word range every min_words-window of which occurs in another document too and for which the
     smallest such doc_id, first_doc_id, is the same; the range of the first document itself is also given. Words are
-    runs of letters and digits, folded to lower case. min_words - gram must stay below 63.
+    those of textnum.words(). min_words - gram must stay below 63.
 
-    Null, empty and shorter texts hold no passage. Repeats inside one document alone, and repeated rows of one doc_id,
-    are no repeats across documents. Rows with a null doc_id are left out. An empty table gives no rows.
+    Null, empty and shorter texts hold no passage. Repeats inside one document alone are no repeats across documents,
+    and neither are repeated rows of one doc_id; where rows of one doc_id differ in text, the ranges of each are given.
+    Rows with a null doc_id are left out. An empty table gives no rows.
     """
-    docs = identified(docs)
-    found = docs.mapInArrow(_occurrences(min_words, gram), "gram long, near long, doc_id long, start int, windows int")
-    by_gram, by_near = Window.partitionBy("gram"), Window.partitionBy("gram", "near")
-    found = found.repartition("gram").withColumns({"low": F.min("doc_id").over(by_gram), "high": F.max("doc_id").over(by_gram)}).where("low < high")
-    found = found.withColumns({"least": F.min("doc_id").over(by_near), "most": F.max("doc_id").over(by_near), "rep": F.min(F.struct("doc_id", "start")).over(by_near), "other": F.min("near").over(by_gram) < F.max("near").over(by_gram)})
-    found = cut(found.select("gram", "near", "doc_id", "start", "windows", "low", "least", "most", "rep", "other"))
-
-    # Neighbourhoods that are the only one of their minimizer repeat as a whole, without a sort.
-    whole = found.where("NOT other").select("doc_id", F.col("low").alias("first_doc_id"), "start", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
-    wanted = found.where("other AND doc_id = rep.doc_id AND start = rep.start").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "near", "least", "most", "start", "windows")).alias("wanted"))
-    pieces = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_cut_out(min_words), "gram long, near long, least long, most long, windows int, words binary")
-    masks = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_arrays(min_words), "gram long, near long, first_doc_id long, mask long").dropDuplicates(["gram", "near", "first_doc_id"])
-    parts = found.where("other").select("gram", "near", "doc_id", "start").join(masks, ["gram", "near"]).select("doc_id", "first_doc_id", "start", "mask")
-    covered = whole.union(parts).mapInArrow(_intervals(min_words), "doc_id long, first_doc_id long, start_word int, end_word int")
-    return merged(covered, ["doc_id", "first_doc_id"]).withColumn("n_words", F.col("end_word") - F.col("start_word"))
+    return passages(docs, min_words, gram, symbols).drop("body").distinct().withColumn("n_words", F.col("end_word") - F.col("start_word"))
 
 
 def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -302,8 +343,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, start, end, _ = words(buf, off)
             keep, at = [], 0
             for s in sorted(spans[i], key=lambda x: x["start_word"]):
-                if s["end_word"] > len(start):
-                    continue  # another row of a repeated doc_id
                 keep.append(raw[at : start[s["start_word"]]])
                 at = end[s["end_word"] - 1]
             texts.append(b"".join([*keep, raw[at:]]).decode(errors="replace").strip())
@@ -317,16 +356,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, symbols: int = SYMBOLS) -> DataFrame:
     """documents with every repeated passage cut out of all documents but the first that holds it; n_chars follows.
 
-    Documents without a repeat keep their text to the byte; documents whose last word is cut go. Null and empty texts
-    and rows with a null doc_id stay as they are; columns that documents doesn't have are dropped.
+    Documents without a repeat keep their text to the byte; documents whose last word is cut go. Rows that repeat a
+    doc_id and text are cut alike; another text under the same doc_id loses its own passages only. Null and empty texts
+    and rows with a null doc_id stay as they are; columns that documents doesn't have are dropped. An empty table stays
+    empty.
     """
     docs = rows_with_id(docs)
-    spans = merged(repeated_passages(docs, min_words, gram).where("doc_id <> first_doc_id").select("doc_id", "start_word", "end_word"), ["doc_id"])
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "spans")
+    spans = merged(passages(docs, min_words, gram, symbols).where("doc_id <> first_doc_id").select("doc_id", "body", "start_word", "end_word"), ["doc_id", "body"])
+    spans = spans.groupBy(F.col("doc_id").alias("span_doc_id"), F.col("body").alias("span_body")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    own = (docs["doc_id"].cast("long") == spans["span_doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == spans["span_body"])
+    joined = docs.join(spans, own, "left").select(*docs.columns, "spans")
     return joined.mapInArrow(_remove, docs.schema)
 
 
