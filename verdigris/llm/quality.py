@@ -23,8 +23,10 @@ SLOTS = 1 << 12
 TRAIN_DOCUMENTS = 3000
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "capitals", "repetition", "sentences", "word_length", "bars", "vocabulary", "letters", "plain", "stutter")
-#: A labeller is taken to accuse no more than this share of good documents.
-ACCUSED = 0.01
+#: Words of the stretches that a text's vocabulary is looked at in, so that its length has no say.
+STRETCH = 200
+#: Bytes of the table of rows and slots that examples are made in.
+_TABLE = 1 << 24
 
 _CODE = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 other mark, 6 bar, 7 space
 _CODE[ord("a") : ord("z") + 1] = 1
@@ -64,6 +66,10 @@ def measures(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     gram_row = np.repeat(np.arange(n), grams)
     gram_at = np.repeat(at[:-1], grams) + ranges(grams)
     letters = np.maximum(code[:, 1] + code[:, 2], 1)
+    stretches = -(-np.diff(at) // STRETCH)
+    stretch = np.repeat(np.cumsum(stretches) - stretches, np.diff(at)) + ranges(np.diff(at)) // STRETCH
+    order = np.lexsort((h, stretch))
+    again = np.append(False, (h[order][1:] == h[order][:-1]) & (stretch[order][1:] == stretch[order][:-1])) if len(h) else np.zeros(0, bool)
     mark = np.append(0, np.cumsum((_CODE[buf] == 5) | (_CODE[buf] == 6)))
     same = np.append(False, (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])) if len(h) else np.zeros(0, bool)
     return {
@@ -73,7 +79,7 @@ def measures(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         "ended": code[:, 4] / words,
         "mean_word": np.bincount(owner, end - start, n) / words,
         "bars": code[:, 6] / words,
-        "distinct": 1 - repeated(h, owner, np.ones(len(h))),
+        "distinct": 1 - np.bincount(owner[order], again, n) / words,
         "letters": (code[:, 1] + code[:, 2]) / np.maximum(length - code[:, 7], 1),
         "plain": 1 - np.bincount(owner, mark[end] > mark[start], n) / words,
         "stutter": np.bincount(owner, same, n) / words,
@@ -97,7 +103,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
             rule((m["ended"] < 0.01) | (m["ended"] > 0.7), (m["ended"] > 0.03) & (m["ended"] < 0.4), True),
             rule((m["mean_word"] > 14) | (m["mean_word"] < 2.2), (m["mean_word"] > 3) & (m["mean_word"] < 9)),
             rule(m["bars"] > 0.2, (m["bars"] < 0.01) & ~few),
-            rule((m["distinct"] < 0.12) & (m["words"] < 2000), (m["distinct"] > 0.3), True),
+            rule(m["distinct"] < 0.12, m["distinct"] > 0.3, True),
             rule(m["letters"] < 0.89, m["letters"] > 0.92),
             rule(m["plain"] < 0.6, m["plain"] > 0.85),
             rule(m["stutter"] > 0.2, m["stutter"] < 0.03),
@@ -109,7 +115,8 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """Prior of good, table[class, labeller, vote] and the posterior of good for each pattern; no opinion tells nothing.
 
-    Starts from the belief that labellers are right more often than wrong; that also fixes which class is good.
+    Starts from the belief that labellers are right more often than wrong; that also fixes which class is good. One
+    document of each kind is added to all counts, so that no estimate is 0.
     """
     k = patterns.shape[1]
     # A document counts as bad at first when any labeller says so: the labellers look at different faults.
@@ -121,11 +128,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
         weight = np.stack([(1 - post) * counts, post * counts])
         table = np.einsum("cp,pkv->ckv", weight, one_hot) + 1.0
         table /= table.sum(axis=2, keepdims=True)
-        over = np.maximum(table[1, :, 0] - ACCUSED, 0)
-        table[1, :, 0] -= over
-        table[1, :, 1] += over
-        # Labellers seldom call a good document bad: that a class is called good is what makes it the good one.
-        prior = min(max(weight[1].sum() / max(weight.sum(), 1e-9), 0.01), 0.99)
+        prior = (weight[1].sum() + 1) / (weight.sum() + 2)
         logs = np.einsum("pkv,ckv->cp", one_hot, np.log(table)) + np.log([[1 - prior], [prior]])
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
         if np.abs(new - post).max(initial=0) < 1e-9:
@@ -166,10 +169,34 @@ def _vote_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(code), pa.array(count)], names=["code", "n"])
 
 
+def _few_rows(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """text_slices() of at most so many rows each."""
+    for lo, hi, buf, off in text_slices(column):
+        for k in range(0, hi - lo, most):
+            end = min(k + most, hi - lo)
+            yield lo + k, lo + end, buf[off[k] : off[end]], off[k : end + 1] - off[k]
+
+
+def decisions(buf: np.ndarray, off: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The scorer's value of each row: square roots of the shares of its distinct slots, weighted and summed."""
+    slots = len(weights) - 1
+    slot, n = features(buf, off, slots)
+    # Square-rooted counts aren't additive, so each row's distinct slots are counted first: by a sort, whose room
+    # depends on the bytes alone.
+    key = np.repeat(np.arange(len(n), dtype=np.int64), n) * slots + slot
+    if len(n) * slots < 1 << 32:
+        key = key.astype(np.uint32)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    row, slot = key[first].astype(np.int64) // slots, key[first].astype(np.int64) % slots
+    return np.bincount(row, np.sqrt(count / np.maximum(n, 1)[row]) * weights[slot].astype(float), len(n)) + float(weights[-1])
+
+
 def _examples(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, off in text_slices(batch.column("text")):
+            for lo, hi, buf, off in _few_rows(batch.column("text"), _TABLE // (8 * slots)):
                 slot, n = features(buf, off, slots)
                 x = np.bincount(np.repeat(np.arange(hi - lo), n) * slots + slot, minlength=(hi - lo) * slots).reshape(hi - lo, slots) / np.maximum(n, 1)[:, None]
                 x = np.sqrt(x).astype(np.float16)
@@ -210,17 +237,11 @@ def fit(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, slots: int = SL
 
 
 def _scorer(weights: np.ndarray, keep_columns: bool, threshold: float):
-    slots = len(weights) - 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in text_slices(batch.column("text")):
-                # Square-rooted counts aren't additive, so each row's distinct slots are counted first.
-                slot, n = features(buf, off, slots)
-                count = np.bincount(np.repeat(np.arange(hi - lo), n) * slots + slot, minlength=(hi - lo) * slots).reshape(hi - lo, slots)
-                score = np.sqrt(count / np.maximum(n, 1)[:, None]).astype(np.float32) @ weights[:-1] + weights[-1]
-                p = 1 / (1 + np.exp(-np.clip(score.astype(float), -30, 30)))
-                p = np.where(n == 0, 0.0, p)
+                p = 1 / (1 + np.exp(-np.clip(decisions(buf, off, weights), -30, 30)))
+                p = np.where(np.diff(off) < 3, 0.0, p)
                 if keep_columns:
                     yield batch.slice(lo, hi - lo).filter(pa.array(p >= threshold))
                 else:
@@ -241,7 +262,11 @@ def quality_scores(docs: DataFrame, threshold: float = THRESHOLD, train_document
 
 
 def good_documents(docs: DataFrame, threshold: float = THRESHOLD, train_documents: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """documents that the classifier keeps, with documents' columns."""
+    """documents that the classifier keeps, with documents' columns and no others.
+
+    Null and empty texts, and those of under three bytes, score 0 and go; rows with a null doc_id are judged like any
+    other; repeated rows are judged each. An empty table stays empty.
+    """
     weights, _ = fit(identified(docs), train_documents)
     docs = rows_with_id(docs)
     return docs.mapInArrow(_scorer(weights, True, threshold), docs.schema)
