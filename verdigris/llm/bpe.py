@@ -2,7 +2,9 @@
 
 Texts are cut into pieces by the vocabulary's pattern; each distinct piece is encoded once. Pieces of similar length
 form a padded matrix of byte tokens; in every round each row merges its leftmost pair of minimum rank, looked up in an
-open-addressing hash table of token pairs, and closes the gap; rows without a pair leave the matrix.
+open-addressing hash table of token pairs, and closes the gap; rows without a pair leave the matrix. A piece of more
+than LONG bytes is a row by itself and merges, besides the leftmost pair, all further ones of the same rank that would
+be next in turn, so its rounds are as many as ranks occur in it, not as many as merges.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces that a worker remembers between batches before it starts afresh.
 REMEMBERED = 400_000
+LONG = 512
 _NONE = np.int32(2**31 - 1)
 
 
@@ -89,6 +92,13 @@ class Vocabulary:
         bucket = np.frexp(size.astype(float))[1]
         for b in np.unique(bucket[size > 0]):
             rows = np.flatnonzero((bucket == b) & (size > 0))
+            if 1 << int(b) > LONG:
+                for r in rows:
+                    ids = self._merge_long(buf[off[r] : off[r + 1]])
+                    counts[r] = len(ids)
+                    where.append(np.array([r]))
+                    values.append(ids)
+                continue
             per = max((1 << 21) // (1 << int(b)), 1)
             for k in range(0, len(rows), per):
                 part = rows[k : k + per]
@@ -142,6 +152,34 @@ class Vocabulary:
         at = ranges(have)
         return done[np.repeat(np.arange(n), have), at], have
 
+    def _merge_long(self, piece: np.ndarray) -> np.ndarray:
+        ids = self.byte[piece]
+        rank = self.pair_rank(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == best)
+            # Of overlapping pairs, as in a run of one token, every second one stays.
+            head = np.append(True, np.diff(at) > 1)
+            turn = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+            at = at[turn % 2 == 0]
+            # In turn: what lies to the left is merged already, what lies to the right isn't yet.
+            left = ids[np.maximum(at - 1, 0)]
+            left[1:][at[1:] - 2 == at[:-1]] = best
+            right = ids[np.minimum(at + 2, len(ids) - 1)]
+            made = np.full(len(at), best, np.int32)
+            lower = (at > 0) & (self.pair_rank(left, made) < best) | (at + 2 < len(ids)) & (self.pair_rank(made, right) < best)
+            # A merge that makes a pair of lower rank ends the round: that pair comes first.
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            ids[at] = best
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], rank[keep[1:]] if len(keep) > 1 else rank
+            place = at - np.arange(len(at))
+            near = np.unique(np.concatenate([place, place - 1]))
+            near = near[(near >= 0) & (near + 1 < len(ids))]
+            rank[near] = self.pair_rank(ids[near], ids[near + 1])
+        return ids
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a run of tokens."""
         n = self.length[ids]
