@@ -114,6 +114,89 @@ for _parts, _kind, _long in [
         for _form, _text in [(f"CC {_parts} {_version}", "Licensed under {}."), (f"{_long} {_version}", "This work is licensed under a Creative Commons {} International License.")]:
             _more(f"CC-{_parts}-{_version}", _kind, _text.format(_form), _form.lower().replace("-", " ").replace(".", " "))
 
+_DISCLAIMED = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+OF THE POSSIBILITY OF SUCH DAMAGE."""
+_TWO = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+
+#: Whole texts; of overlapping notices the longest match counts, so a text is taken for the fullest template.
+TEMPLATES += [
+    ("BSD-2-Clause", "permissive", f"{_TWO} {_DISCLAIMED}"),
+    (
+        "BSD-3-Clause",
+        "permissive",
+        f"""{_TWO} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. {_DISCLAIMED}""",
+    ),
+    (
+        "ISC",
+        "permissive",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS"
+AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "Zlib",
+        "permissive",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "Unlicense",
+        "permissive",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software
+dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the
+public at large and to the detriment of our heirs and successors.""",
+    ),
+    (
+        "BSL-1.0",
+        "permissive",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software,
+and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.""",
+    ),
+    (
+        "CC0-1.0",
+        "permissive",
+        """To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work
+to the public domain worldwide. You can copy, modify, distribute and perform the work, even for commercial purposes, all
+without asking permission.""",
+    ),
+    (
+        "Apache-2.0",
+        "permissive",
+        """Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide,
+non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly
+display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.""",
+    ),
+    (
+        "GPL-3.0",
+        "copyleft",
+        """You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you
+conspicuously and appropriately publish on each copy an appropriate copyright notice; keep intact all notices stating that this
+License and any non-permissive terms added in accord with section 7 apply to the code; keep intact all notices of the absence of
+any warranty; and give all recipients a copy of this License along with the Program.""",
+    ),
+]
+
 _COMMON = set("a all an and any are as at be by can do following for form from in is it list may met must no not of on or that the this to under use with without you your work part terms 0 2 3 4 version v copy conditions above either mit general".split())
 
 
