@@ -55,7 +55,7 @@ def characters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for k in (1, 2):
         at = np.minimum(lead + k, max(len(b) - 1, 0))
         h = np.where((buf[at] & 0xC0) == 0x80, h * 31 + b[at], h)
-    code[lead] = 27 + (h * 2654435761 >> 7) % 37
+    code[lead] = np.where(b[lead] > 0, 27 + (h * 2654435761 >> 7) % 37, 0)
     first = (buf & 0xC0) != 0x80
     return code[first], np.append(0, np.cumsum(first))
 
@@ -412,7 +412,7 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(machine: np.ndarray, threshold: float, columns: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, off in text_slices(batch.column("text"), 1 << 22):
+            for lo, hi, buf, off in text_slices(batch.column("text")):
                 value = worst(buf, off, machine)
                 if columns:
                     yield batch.slice(lo, hi - lo).filter(pa.array(~(value > threshold)))
@@ -435,7 +435,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFr
 
 
 def civil_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """documents that are not toxic, with documents' columns."""
+    """documents that are not toxic, with documents' columns and no others.
+
+    Null and empty texts stay, as do rows with a null doc_id (unless their text is toxic); repeated rows are judged
+    each; without labels of both kinds all stay. An empty table gives no rows.
+    """
     machine, threshold = fit(identified(docs), labels, **bounds)
     docs = rows_with_id(docs)
     return docs.mapInArrow(_scored(machine, threshold, True), docs.schema)
