@@ -18,6 +18,9 @@ OPERATORS = {
     "op8_extendible_sharding": "sharding",
     "op9_cover_tree_pairs": "cover_tree",
     "op10_shifted_curve_neighbours": "curve_neighbours",
+    # The same operators with parameters that give the SQL something to disagree with on small tables.
+    "small_shards": "sharding",
+    "embedding_links_at_low_threshold": "cover_tree",
 }
 
 
@@ -32,4 +35,6 @@ def llm_oracle_sql() -> dict[str, str]:
         "op8_extendible_sharding": sharding.oracle(),
         "op9_cover_tree_pairs": cover_tree.oracle(),
         "op10_shifted_curve_neighbours": curve_neighbours.oracle(),
+        "small_shards": sharding.oracle(sharding.SMALL_SHARD_BYTES),
+        "embedding_links_at_low_threshold": cover_tree.oracle(cover_tree.LOW_THRESHOLD),
     }

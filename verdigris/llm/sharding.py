@@ -109,6 +109,15 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: A limit that even the smallest tables exceed many times over.
+SMALL_SHARD_BYTES = 64 << 10
+
+
+def small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with SMALL_SHARD_BYTES: there are many splits in any of the tables."""
+    return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"), SMALL_SHARD_BYTES)
+
+
 def oracle(limit: int = SHARD_BYTES) -> str:
     """A document's shard is the shortest prefix of its hash whose documents fit the limit together."""
     return f"""

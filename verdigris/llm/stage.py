@@ -11,9 +11,18 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the session names in spark.checkpoint.dir, which all executors share.
+
+    Where none is named, as in tests, a temporary one serves if all runs in one process; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="verdigris-")
+    if named:
+        return named
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return spark.sparkContext.getCheckpointDir()
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return tempfile.mkdtemp(prefix="verdigris-")
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def cut(df: DataFrame) -> DataFrame:

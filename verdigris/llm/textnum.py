@@ -7,7 +7,9 @@ empty texts.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,17 +95,67 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         yield lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
-def fold(buf: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and Latin-1 letters; 0 for bytes that no word holds."""
+#: Characters that are words by themselves: Han, with its extensions, and kana.
+_SINGLE = [(0x3041, 0x3096), (0x30A1, 0x30FA), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]
+_TABLED = 0x20000
+
+
+@lru_cache(maxsize=1)
+def _unicode() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point below _TABLED: 0 no word, 1 part of a word, 2 a word by itself; and its lower case.
+
+    Letters, marks and numbers make words. A lower case that takes another number of bytes is not used.
+    """
+    kind, lower = np.zeros(_TABLED, np.uint8), np.arange(_TABLED, dtype=np.int32)
+    for code in range(0x80, _TABLED):
+        c = chr(code)
+        if unicodedata.category(c)[0] in "LNM":
+            kind[code] = 1
+            small = c.lower()
+            if len(small) == 1 and small != c and (code >= 0x800) == (ord(small) >= 0x800) and (code >= 0x10000) == (ord(small) >= 0x10000) and ord(small) >= 0x80:
+                lower[code] = ord(small)
+    for lo, hi in _SINGLE:
+        kind[lo : hi + 1] = np.where(kind[lo : hi + 1] > 0, 2, 0)
+    return kind, lower
+
+
+def folded(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes in lower case, 0 for those of characters that no word holds; and where a new word begins in any case."""
     b = _FOLD[buf]
-    if len(b) > 1 and (lead := np.flatnonzero(b[:-1] == 0xC3)).size:
-        after = b[lead + 1]
-        b[lead[(after >= 0x80) & (after <= 0x9E) & (after != 0x97)] + 1] += 0x20
-    return b
+    lead = np.flatnonzero(buf >= 0xC0)
+    if not lead.size:
+        return b, lead
+    kind, lower = _unicode()
+    size = 2 + (buf[lead] >= 0xE0).astype(np.int64) + (buf[lead] >= 0xF0)
+    whole = lead + size <= len(buf)
+    lead, size = lead[whole], size[whole]
+    code = buf[lead].astype(np.int32) & np.array([0, 0, 0x1F, 0x0F, 0x07], np.int32)[size]
+    for k in (1, 2, 3):
+        more = size > k
+        code[more] = code[more] << 6 | (buf[lead[more] + k] & 0x3F)
+    # Beyond the table lie only the Han extensions.
+    low = np.minimum(code, _TABLED - 1)
+    what = np.where(code < _TABLED, kind[low], 2)
+    for k in range(4):
+        b[lead[(what == 0) & (size > k)] + k] = 0
+    small = np.where(code < _TABLED, lower[low], code)
+    other = (small != code) & (what > 0)
+    at, n, small = lead[other], size[other], small[other]
+    for k in range(4):
+        some = n > k
+        rest = small[some] >> 6 * (n[some] - 1 - k)
+        b[at[some] + k] = np.where(k > 0, rest & 0x3F | 0x80, rest | np.array([0, 0, 0xC0, 0xE0, 0xF0])[n[some]]).astype(np.uint8)
+    alone = what == 2
+    return b, np.union1d(lead[alone], lead[alone] + size[alone])
+
 
+def fold(buf: np.ndarray) -> np.ndarray:
+    """Bytes in lower case, 0 for those of characters that no word holds."""
+    return folded(buf)[0]
 
-def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True, which no row boundary joins."""
+
+def runs(inside: np.ndarray, off: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, which neither row boundaries nor breaks (places of bytes) join."""
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, last = off[:-1][np.diff(off) > 0], off[1:][np.diff(off) > 0] - 1
@@ -113,13 +165,19 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after = np.empty_like(inside)
     after[-1], after[:-1] = False, inside[1:]
     after[last] = False
+    if breaks is not None and breaks.size:
+        before[breaks[breaks < len(inside)]] = False
+        after[breaks[breaks > 0] - 1] = False
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded words of the rows: 64-bit hash, byte start, byte end, and how many words lie before each row's end."""
-    b = fold(buf)
-    start, end = runs(b != 0, off)
+    """Folded words of the rows: 64-bit hash, byte start, byte end, and how many words lie before each row's end.
+
+    A word is a run of letters, marks and numbers of any script; a Han or kana character is a word by itself.
+    """
+    b, breaks = folded(buf)
+    start, end = runs(b != 0, off, breaks)
     return span(prefix(b), start, end), start, end, np.searchsorted(start, off)
 
 
