@@ -1,4 +1,6 @@
+import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,7 +10,7 @@ from conftest_llm import LONG, ODD
 
 from verdigris.llm import minhash, suffix_array
 from verdigris.llm.components import components
-from verdigris.llm.textnum import text_buffer, words
+from verdigris.llm.textnum import fold, text_buffer, words
 
 
 def bags(texts):
@@ -129,3 +131,61 @@ def test_repeats_of_odd_rows(make):
     assert left[20] == "a b " + passage + " c" and left[1] is None and left[5] == LONG
     assert 21 not in left and 22 not in left
     assert suffix_array.without_repeats(docs).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.parametrize("symbols", [1, 400_000])
+def test_a_hot_minimizer_is_done_by_hashes(make, symbols):
+    rng = np.random.default_rng(11)
+    texts = {i: " ".join(map(str, rng.integers(0, 3, rng.integers(0, 60)))) for i in range(40)}
+    found = suffix_array.repeated_passages(make(list(texts.items())), 8, 3, symbols).collect()
+    assert covered(found) == repeats(texts, 8)
+
+
+def test_points_below_the_weight_are_those_of_their_halvings():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
+    for low, width in ((0, 1), (1, 1), (2, 2), (8, 8), (64, 64)):
+        weight = rng.integers(low + 1, 2 * (low + width) + 2, len(h))
+        bits = width.bit_length() - 1
+        place = low + (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.full(len(h), low)
+        assert np.array_equal(minhash.below(h, low, width, weight), place < weight)
+
+
+def test_two_texts_under_one_doc_id_keep_to_themselves(make):
+    shared, lone = (" ".join(f"{x}{k}" for k in range(100)) for x in "pu")
+    a, b = shared, lone
+    docs = make([(1, a), (5, a), (5, b), (7, b)])
+    assert {tuple(r) for r in minhash.near_duplicates(docs).collect()} == {(5, 1), (7, 5)}
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.keep_one(docs).collect()) == [(1, a), (5, b)]
+    docs = make([(20, " ".join(a.split()[:60])), (21, a), (21, b), (21, b)])
+    left = sorted((r["doc_id"], r["text"]) for r in suffix_array.without_repeats(docs).collect())
+    assert left == [(20, " ".join(a.split()[:60])), (21, " ".join(a.split()[60:])), (21, b), (21, b)]
+
+
+def test_words_of_every_script():
+    def brute(text):
+        out, word = [], ""
+        for c in text:
+            part = unicodedata.category(c)[0] in "LNM"
+            alone = part and bool(re.match("[ぁ-ゖァ-ヺㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]", c))
+            if alone or not part:
+                out += [w for w in (word,) if w]
+                word = ""
+            if alone:
+                out.append(c)
+            elif part:
+                small = c.lower()
+                word += small if len(small.encode()) == len(c.encode()) and len(small) == 1 else c
+        return out + [w for w in (word,) if w]
+
+    rng = random.Random(5)
+    texts = ["Hello—world “quoted”", "МОСКВА москва", "你好，世界。再见", "カタカナ漢字 한국어", "x\U0001f600y \U00020000\U00020001", ""]
+    for _ in range(300):
+        texts.append("".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0x600), rng.randrange(0x2000, 0x3100), rng.randrange(0x4E00, 0x4E20), rng.randrange(0x10000, 0x20100)])) for _ in range(30)))
+    buf, off = text_buffer(pa.array(texts))
+    _, start, end, at = words(buf, off)
+    low = fold(buf)
+    for i, text in enumerate(texts):
+        assert [low[start[k] : end[k]].tobytes().decode() for k in range(at[i], at[i + 1])] == brute(text)
+    h, _, _, _ = words(*text_buffer(pa.array(["МОСКВА москва ÉTÉ été"])))
+    assert h[0] == h[1] and h[2] == h[3]
