@@ -1,7 +1,7 @@
 import corpus_pipeline
 import duckdb
 import numpy as np
-from conftest_llm import DIR
+from conftest_llm import DIR, ODD
 from test_dedup import near_groups, repeats
 
 from verdigris.llm import minhash, suffix_array
@@ -48,3 +48,24 @@ def test_queries_match_their_sql(spark):
         want = con.execute(sql).df()
         got = llm_queries()[name](spark, DIR).toPandas()[want.columns.tolist()]
         assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())), name
+
+
+def test_stages_take_odd_rows_and_no_rows(spark, make, tmp_path):
+    """Nulls, empty and long texts, repeated rows, two texts under one doc_id, clashing columns, and an empty table."""
+    prose = ". ".join(f"The {a} of the {b} was seen by {c} on the way to the old town" for a, b, c in zip(*[iter("river mill stone bridge walker house garden tree winter meadow stream light shadow market street window table candle".split())] * 3)) + "."
+    other = prose.replace("old town", "harbour wall").replace("seen by", "made for")
+    rows = [*ODD, (30, prose), (31, prose), (31, other + " A further sentence that only this one has."), (32, None), (None, prose), (33, prose), (33, prose)]
+    for clash in (True, False):
+        for part in (rows, []):
+            docs = make(part, clash)
+            for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+                path = str(tmp_path / f"{clash}-{len(part)}-{name}")
+                stage(spark, docs, DIR).write.parquet(path)
+                docs = spark.read.parquet(path)
+                if k < 4:
+                    assert docs.columns == COLUMNS, name
+                if name == "minhash_near_dedup" and part:
+                    left = {(r["doc_id"], r["text"]) for r in docs.collect()}
+                    assert (33, prose) not in left and (31, prose) not in left
+                    assert (None, prose) in left or not any(t == prose for _, t in left)
+            assert bool(docs.count()) == bool(part)

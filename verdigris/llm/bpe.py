@@ -285,7 +285,11 @@ def _decode(path: str):
 
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of token lists; a null list is an empty text, bytes that are no UTF-8 become U+FFFD."""
+    """(doc_id, text) of token lists; bytes that are no UTF-8 become U+FFFD.
+
+    Null and empty lists are empty texts; null doc_ids and repeated rows are kept as they are. An empty table gives no
+    rows.
+    """
     return tokens.select("doc_id", "token_ids").mapInArrow(_decode(path), "doc_id long, text string")
 
 
