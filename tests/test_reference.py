@@ -272,8 +272,9 @@ def test_validation(spark, source, output, refine, want):
 def test_paths_and_prices(spark):
     e = spark.createDataFrame([("", "a", "same"), ("", "b", "Same"), ("", "c", "same-2"), ("x", "a", "same")], "parent string, segment string, slug string")
     assert {(r["parent"], r["segment"]): r["name"] for r in paths.disambiguated(e).collect()} == {("", "a"): "same", ("", "b"): "Same-2", ("", "c"): "same-2-2", ("x", "a"): "same"}
-    raw = spark.createDataFrame([("CON.txt", "r"), (" a:b? ", "r"), ("..", "r")], "t string, r string")
-    assert [r[0] for r in raw.select(paths.segment_name(F.col("t"), F.col("r"))).collect()] == ["CON_.txt", "ab", "segment-" + __import__("hashlib").sha1(b"r").hexdigest()[:8]]
+    raw = spark.createDataFrame([("CON.txt", "r"), (" a:b? ", "r"), ("..", "r"), (None, "a b"), ("..", "??")], "t string, r string")
+    # Where nothing of the translation is left, the segment's own slug serves, and a hash only where that is empty too.
+    assert [r[0] for r in raw.select(paths.segment_name(F.col("t"), F.col("r"))).collect()] == ["CON_.txt", "ab", "r", "a-b", "segment-" + __import__("hashlib").sha1(b"??").hexdigest()[:8]]
     calls = spark.createDataFrame([("p/m", "10", "5"), ("p/m", "x", None), ("q", "1", "1")], "model string, input_tokens string, output_tokens string")
     prices = spark.createDataFrame([("m", 2.0, 4.0)], "model string, input_rate double, output_rate double")
     got = {r["model"]: (r["api_calls"], r["input_tokens"], r["total_cost"]) for r in usage.receipts(calls, prices).collect()}

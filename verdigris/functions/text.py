@@ -95,6 +95,11 @@ def block_type(msgctxt: Column) -> Column:
     return F.regexp_extract(msgctxt, "::([^:]*):", 1)
 
 
+def legacy_block_type(context: Column) -> Column:
+    """What stands behind the first '::', number included; 'unknown' without one."""
+    return F.when(F.contains(context, F.lit("::")), F.split_part(context, F.lit("::"), F.lit(2))).otherwise("unknown")
+
+
 def top_section(msgctxt: Column) -> Column:
     return F.substring_index(F.substring_index(msgctxt, "::", 1), "/", 1)
 

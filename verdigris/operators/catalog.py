@@ -1,6 +1,8 @@
 """The translation catalog as a table: sync, states, commits, carry-over.
 
-Columns: doc_id, ord, msgctxt, msgid, msgstr (empty: untranslated), fuzzy, obsolete. Keys are (doc_id, msgctxt).
+Columns: doc_id, ord, msgctxt, msgid, msgstr (empty: untranslated), fuzzy, obsolete, and tcomment, which says why an
+entry failed; a table without tcomment has none. Keys are (doc_id, msgctxt). Null texts count as they are, empty tables
+give empty results, and of rows that repeat a key each is matched.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ def translatable(msgctxt: Column) -> Column:
     return ~block_type(msgctxt).isin(*SKIP_TYPES)
 
 
+def commented(catalog: DataFrame) -> DataFrame:
+    return catalog if "tcomment" in catalog.columns else catalog.withColumn("tcomment", F.lit(None).cast("string"))
+
+
 def sync(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog after the blocks' current text: one full outer join on (doc_id, msgctxt).
 
@@ -27,7 +33,7 @@ def sync(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     # Whether a side matched is a column of its own, so that text may be null on either side.
     left = blocks.select("doc_id", "msgctxt", F.col("text").alias("new_text"), "seq", F.lit(True).alias("here"))
-    right = catalog.where("NOT obsolete").select(*COLUMNS[:-1], F.lit(True).alias("known"))
+    right = commented(catalog).where("NOT obsolete").select(*COLUMNS[:-1], "tcomment", F.lit(True).alias("known"))
     both = left.join(right, ["doc_id", "msgctxt"], "full_outer")
     differs = ~F.col("new_text").eqNullSafe(F.col("msgid"))
     state = F.when(F.col("known").isNull(), "new").when(F.col("here").isNull(), "dropped").when(differs & translatable(F.col("msgctxt")), "changed").otherwise("kept")
@@ -40,13 +46,14 @@ def sync(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
         (F.coalesce("fuzzy", F.lit(False)) | (state == "changed")).alias("fuzzy"),
         (state == "dropped").alias("obsolete"),
         state.alias("state"),
+        "tcomment",
     )
 
 
 def reordered(synced: DataFrame) -> DataFrame:
     """The table to store after sync(): dropped entries gone, ord counted anew in each document."""
     order = Window.partitionBy("doc_id").orderBy("ord", "msgctxt")
-    return synced.where("NOT obsolete").withColumn("ord", F.row_number().over(order) - 1).select(*COLUMNS)
+    return synced.where("NOT obsolete").withColumn("ord", F.row_number().over(order) - 1).select(*COLUMNS, "tcomment")
 
 
 def pending(catalog: DataFrame) -> DataFrame:
@@ -59,6 +66,11 @@ def unprocessed(catalog: DataFrame) -> DataFrame:
     return catalog.where("NOT obsolete AND msgstr = '' AND NOT fuzzy")
 
 
+def fuzzy_entries(catalog: DataFrame) -> DataFrame:
+    """Entries marked fuzzy, obsolete ones apart."""
+    return catalog.where("NOT obsolete AND fuzzy")
+
+
 def pool_seed(catalog: DataFrame) -> DataFrame:
     """Pairs that may serve as references, in catalog order."""
     return catalog.where("NOT obsolete AND NOT fuzzy AND msgstr <> ''").select("doc_id", "ord", F.col("msgid").alias("src"), F.col("msgstr").alias("tgt"))
@@ -104,25 +116,32 @@ def rebuilt(blocks: DataFrame, catalog: DataFrame, docs: DataFrame) -> DataFrame
     edits = new.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "msgstr"))).alias("edits"))
     joined = docs.select("doc_id", "text").join(edits, "doc_id", "left")
     lines = F.expr(r"regexp_extract_all(text, '[^\n]*\n|[^\n]+$', 0)")
+    # Each edit gives the lines before it and its own text; all are put together once.
     out = F.expr(
-        """aggregate(edits, struct(0 AS at, '' AS made),
-           (s, e) -> struct(e.end_line AS at, s.made || array_join(slice(ls, s.at + 1, e.start_line - s.at), '') || e.msgstr || '\n' AS made),
-           s -> s.made || array_join(slice(ls, s.at + 1, greatest(size(ls) - s.at, 0)), ''))"""
+        """array_join(concat(
+             flatten(transform(edits, (e, i) -> array(array_join(slice(ls, IF(i = 0, 0, edits[i - 1].end_line) + 1, e.start_line - IF(i = 0, 0, edits[i - 1].end_line)), ''), e.msgstr || '\n'))),
+             array(array_join(slice(ls, edits[size(edits) - 1].end_line + 1, greatest(size(ls) - edits[size(edits) - 1].end_line, 0)), ''))), '')"""
     )
     return joined.withColumn("ls", lines).select("doc_id", F.when(F.col("edits").isNull(), F.col("text")).otherwise(out).alias("text"))
 
 
 def carried(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New entries with the fuzzy flag of the old entry that has the same text: nth occurrence to nth occurrence."""
+    """New entries with the fuzzy flag and comment of the old entry that has the same text: nth occurrence to nth."""
     nth = F.row_number().over(Window.partitionBy("doc_id", "msgid").orderBy("ord"))
-    left = new.withColumn("nth", nth)
-    right = old.withColumn("nth", nth).select("doc_id", "msgid", "nth", F.col("fuzzy").alias("was_fuzzy"))
-    return left.join(right, ["doc_id", "msgid", "nth"], "left").withColumn("fuzzy", F.coalesce("was_fuzzy", "fuzzy")).drop("was_fuzzy")
+    left = commented(new).withColumn("nth", nth)
+    right = commented(old).where("msgid <> ''").withColumn("nth", nth).select("doc_id", "msgid", "nth", F.col("fuzzy").alias("was_fuzzy"), F.col("tcomment").alias("had"))
+    both = left.join(right, ["doc_id", "msgid", "nth"], "left")
+    return both.withColumns({"fuzzy": F.col("fuzzy") | F.coalesce("was_fuzzy", F.lit(False)), "tcomment": F.coalesce("had", "tcomment")}).drop("was_fuzzy", "had")
 
 
 def committed(catalog: DataFrame, answers: DataFrame) -> DataFrame:
-    """Catalog with answers (doc_id, msgctxt, answer, failed): a failed one is fuzzy and left untranslated."""
-    joined = catalog.join(answers.withColumn("answered", F.lit(True)), ["doc_id", "msgctxt"], "left")
+    """Catalog with answers (doc_id, msgctxt, answer, failed[, reason]): a failed one is fuzzy and left untranslated.
+
+    Its reason is added to the comment; a later success leaves the comment as it is.
+    """
+    if "reason" not in answers.columns:
+        answers = answers.withColumn("reason", F.lit(None).cast("string"))
+    joined = commented(catalog).join(answers.withColumn("answered", F.lit(True)), ["doc_id", "msgctxt"], "left")
     done = F.coalesce("answered", F.lit(False)) & F.col("answer").isNotNull()
     return joined.select(
         "doc_id",
@@ -132,9 +151,28 @@ def committed(catalog: DataFrame, answers: DataFrame) -> DataFrame:
         F.when(done, F.when(F.col("failed"), "").otherwise(F.col("answer"))).otherwise(F.col("msgstr")).alias("msgstr"),
         F.when(done, F.col("failed")).otherwise(F.col("fuzzy")).alias("fuzzy"),
         "obsolete",
+        F.when(done & F.col("failed"), F.nullif(F.concat_ws("\n", F.nullif("tcomment", F.lit("")), "reason"), F.lit(""))).otherwise(F.col("tcomment")).alias("tcomment"),
     )
 
 
+def redrawn(blocks: DataFrame, before: DataFrame) -> DataFrame:
+    """The catalog of a document that its own translation replaced: every block is its own translation.
+
+    Entries that a validator refused keep their flag and comment, by text and occurrence.
+    """
+    fresh = blocks.select("doc_id", F.col("seq").alias("ord"), "msgctxt", F.col("text").alias("msgid"), F.col("text").alias("msgstr"), F.lit(False).alias("fuzzy"), F.lit(False).alias("obsolete"))
+    # A committed entry's text is now the translation, so old entries are found by what stands in the document.
+    old = commented(before).where("NOT obsolete").withColumn("msgid", F.when((F.col("msgstr") != "") & translatable(F.col("msgctxt")), F.col("msgstr")).otherwise(F.col("msgid")))
+    return carried(old, fresh).select(*COLUMNS, "tcomment")
+
+
+def file_stats(docs: DataFrame, blocks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Lines, blocks, coverage and entry states of each document, from the catalog as it is (nothing is synced)."""
+    lines = docs.select("doc_id", F.coalesce(F.size(F.expr(r"regexp_extract_all(text, '[^\n]*\n|[^\n]+$', 0)")), F.lit(0)).alias("total_lines"))
+    states = stats(catalog).select("doc_id", *[F.col(c).alias(f"entries_{c}") for c in ("total", "processed", "fuzzy", "unprocessed", "obsolete")])
+    return lines.join(coverage(blocks, catalog, "doc_id"), "doc_id", "left").join(states, "doc_id", "left").na.fill(0)
+
+
 def echoes(pairs: DataFrame) -> DataFrame:
     """Adds is_echo: the answer is the source, code apart; such answers are warned about, not refused."""
     return pairs.withColumn("is_echo", (trimmed(F.col("answer")) == trimmed(F.col("msgid"))) & (block_type(F.col("msgctxt")) != "code"))

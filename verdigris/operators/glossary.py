@@ -49,13 +49,18 @@ def chains(files: DataFrame) -> DataFrame:
     return files.select("rel_path", F.posexplode(ancestors(folder)).alias("depth", "dir"))
 
 
-def cascaded(files: DataFrame, glossary: DataFrame) -> DataFrame:
+def cascaded(files: DataFrame, glossary: DataFrame, everywhere: DataFrame | None = None) -> DataFrame:
     """(rel_path, term, kind, scalar, by_locale): the terms in force for each file.
 
     The innermost level that is no per-locale map decides; per-locale maps further in merge over a per-locale one, the
-    inner locale winning. remove takes the term out, and a later level may bring it back.
+    inner locale winning. remove takes the term out, and a later level may bring it back. everywhere has levels by
+    depth in place of dir, which hold for all files.
     """
-    hits = chains(files).join(glossary, "dir")
+    columns = ["rel_path", "depth", "term", "kind", "scalar", "by_locale"]
+    hits = chains(files).join(glossary, "dir").select(*columns)
+    if everywhere is not None:
+        # Named files and inline terms: as small as what a person writes.
+        hits = hits.union(files.select("rel_path").join(everywhere).select(*columns))
     order = Window.partitionBy("rel_path", "term").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = F.max(F.when(F.col("kind") != "locales", F.col("depth"))).over(order)
     hits = hits.withColumn("base", F.coalesce(last, F.lit(-1)))

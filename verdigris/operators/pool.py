@@ -1,7 +1,11 @@
-"""Reference pairs: earlier translations most like a text, as examples for the next."""
+"""Reference pairs: translations most like a text, as examples for the next.
+
+A run sees the pairs that its catalog starts with, all of them, and of its own commits those that came before.
+"""
 
 from __future__ import annotations
 
+import heapq
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,29 +15,80 @@ from pyspark.sql import functions as F
 MAX_REFERENCES = 5
 
 
-def similarity(query: Column, other: Column) -> Column:
-    """Matching-blocks ratio; not symmetric, the query comes first."""
-    return F.pandas_udf(_similarity, "double")(query, other)
+class Pool:
+    """Pairs in order of arrival, for one worker."""
 
+    def __init__(self, pairs: list[tuple[str, str]] = ()):
+        self.pairs = list(pairs)
 
-def _similarity(query: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(query, other)])
+    def add(self, src: str, tgt: str) -> None:
+        self.pairs.append((src, tgt))
+
+    def similar(self, query: str, k: int = MAX_REFERENCES) -> list[tuple[float, str, str]]:
+        """(score, src, tgt) of the k best pairs of another text; ties keep the pool's order.
+
+        Pairs whose upper bounds (by length, then by letters) can't reach the k-th best so far are not compared.
+        """
+        best: list[tuple[float, int]] = []
+        for at, (src, _) in enumerate(self.pairs):
+            if src == query or k < 1:
+                continue
+            match = SequenceMatcher(None, query, src)
+            bar = best[0][0] if len(best) == k else -1.0
+            if match.real_quick_ratio() <= bar or match.quick_ratio() <= bar or (score := match.ratio()) <= bar:
+                continue
+            (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (score, -at))
+        return [(score, *self.pairs[-at]) for score, at in sorted(best, reverse=True)]
+
+    def shared(self, queries: list[str], k: int = MAX_REFERENCES) -> list[tuple[str, str]]:
+        """Distinct pairs for several texts; the first texts fill the k places."""
+        found: dict[tuple[str, str], None] = {}
+        for query in queries:
+            for _, src, tgt in self.similar(query, k):
+                found[src, tgt] = None
+                if len(found) >= k:
+                    return list(found)
+        return list(found)
+
+
+def visible(candidates: DataFrame, seed: DataFrame, commits: DataFrame | None = None) -> DataFrame:
+    """Pairs of candidates (doc_id, ord, msgid) and the pool rows of their document that they may see.
+
+    These are all seed pairs, wherever they stand, and commits that come before, if their texts differ.
+    """
+    c = candidates.select("doc_id", F.col("ord").alias("at"), F.col("msgid").alias("query"))
+    columns = ["doc_id", "ord", "src", "tgt"]
+    pairs = seed.select(*columns, F.lit(False).alias("late"))
+    if commits is not None:
+        pairs = pairs.union(commits.select(*columns, F.lit(True)))
+    seen = c.join(pairs, "doc_id").where((~F.col("late") | (F.col("ord") < F.col("at"))) & (F.col("src") != F.col("query")))
+    return seen.drop("late")
 
 
-def visible(candidates: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs of candidates (doc_id, ord, msgid) and pool rows of the document that come before and differ in text.
+def references(candidates: DataFrame, seed: DataFrame, k: int = MAX_REFERENCES) -> DataFrame:
+    """(doc_id, at, query, src, tgt, score, rank): the k seed pairs most similar to each candidate, in pool order on ties.
 
-    This is what a run in catalog order would have seen; seed pairs have the lowest ord.
+    A document's candidates and pairs meet in one worker, so no pair of texts is ever a row. Candidates without a pair
+    of another text have no row; documents without candidates or pairs give none.
     """
-    c, p = candidates.select("doc_id", F.col("ord").alias("at"), F.col("msgid").alias("query")), pool.select("doc_id", "ord", "src", "tgt")
-    return c.join(p, "doc_id").where((F.col("ord") < F.col("at")) & (F.col("src") != F.col("query")))
 
+    def run(asked: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values("ord")
+        pool = Pool(list(zip(pairs["src"], pairs["tgt"])))
+        rows = [(d, at, q, src, tgt, score, n) for d, at, q in zip(asked["doc_id"], asked["ord"], asked["msgid"]) for n, (score, src, tgt) in enumerate(pool.similar(q, k), 1)]
+        return pd.DataFrame(rows, columns=["doc_id", "at", "query", "src", "tgt", "score", "rank"])
+
+    left, right = candidates.select("doc_id", "ord", "msgid"), seed.select("doc_id", "ord", "src", "tgt")
+    return left.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(run, "doc_id long, at int, query string, src string, tgt string, score double, rank int")
 
-def references(candidates: DataFrame, pool: DataFrame, k: int = MAX_REFERENCES) -> DataFrame:
-    """(doc_id, at, query, src, tgt, score, rank): the k most similar visible pairs; ties keep the pool's order."""
-    scored = visible(candidates, pool).withColumn("score", similarity(F.col("query"), F.col("src")))
-    order = Window.partitionBy("doc_id", "at").orderBy(F.desc("score"), "ord")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+def similarity(query: Column, other: Column) -> Column:
+    """Matching-blocks ratio; not symmetric, the query comes first."""
+    return F.pandas_udf(_similarity, "double")(query, other)
+
+
+def _similarity(query: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(query, other)])
 
 
 def batch_references(ranked: DataFrame, k: int = MAX_REFERENCES) -> DataFrame:

@@ -34,15 +34,65 @@ def receipts(calls: DataFrame, prices: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens")).withColumn("total_cost", F.round(F.col("input_cost") + F.col("output_cost"), 9))
 
 
+def counted(value: object) -> int:
+    """A count that a provider sent; what is no number (a flag is none) is 0."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or abs(value) == float("inf"):
+        return 0
+    return int(value)
+
+
+def rates(model: str, prices: dict[str, tuple[float | None, float | None]] | None) -> tuple[float | None, float | None]:
+    """Prices per million tokens of a model, or of its name without the provider's prefix; both or neither."""
+    for name in dict.fromkeys((model, model.partition("/")[2] or model)):
+        found = (prices or {}).get(name)
+        if found and all(isinstance(x, (int, float)) for x in found):
+            return float(found[0]), float(found[1])
+    return None, None
+
+
+def receipt(model: str, used: dict, prices: dict[str, tuple[float | None, float | None]] | None = None, **about: object) -> dict:
+    """One receipt; used has api_calls, input_tokens and output_tokens, about what it is for (paths, target_lang, seconds)."""
+    rate = rates(model, prices)
+    tokens = [used["input_tokens"], used["output_tokens"]]
+    costs = [None if r is None else n * r / 1e6 for n, r in zip(tokens, rate)]
+    return {
+        "model": model,
+        "target_lang": None,
+        "source_path": None,
+        "target_path": None,
+        "catalog_path": None,
+        "duration_seconds": 0.0,
+        **about,
+        "api_calls": used["api_calls"],
+        "input_tokens": tokens[0],
+        "output_tokens": tokens[1],
+        "total_tokens": sum(tokens),
+        "input_rate": rate[0],
+        "output_rate": rate[1],
+        "input_cost": costs[0],
+        "output_cost": costs[1],
+        "total_cost": None if None in costs else sum(costs),
+    }
+
+
 def rendered(receipt: dict, width: int = 60) -> str:
-    """One receipt as text; what is unknown shows as a dash."""
+    """One receipt as text; what is unknown shows as a dash, paths that it lacks are left out."""
+
+    def money(value: float | None, digits: int = 6) -> str:
+        return "—" if value is None else f"${value:,.{digits}f}"
 
-    def money(value: float | None) -> str:
-        return "—" if value is None else f"${value:,.6f}"
+    def line(name: str, value: str) -> str:
+        return f"{name:<16}{value:>{width - 16}}"
 
-    lines = [("Model", receipt["model"]), ("Calls", f"{receipt['api_calls']:,}"), ("Input tokens", f"{receipt['input_tokens']:,}  {money(receipt['input_cost'])}")]
-    lines += [("Output tokens", f"{receipt['output_tokens']:,}  {money(receipt['output_cost'])}"), ("Total", f"{receipt['total_tokens']:,}  {money(receipt['total_cost'])}")]
-    return "\n".join(["=" * width, *(f"{k:<16}{v:>{width - 16}}" for k, v in lines), "=" * width])
+    head = [line("Model", receipt["model"])]
+    head += [line(name, str(receipt[key])) for name, key in (("Language", "target_lang"), ("Source", "source_path"), ("Target", "target_path"), ("Catalog", "catalog_path")) if receipt.get(key)]
+    body = [line("Calls", f"{receipt['api_calls']:,}")]
+    for name, key in (("Input", "input"), ("Output", "output")):
+        price = receipt.get(f"{key}_rate")
+        body += [line(f"{name} tokens", f"{receipt[f'{key}_tokens']:,}  {money(receipt[f'{key}_cost'])}"), line(f"{name} price", money(price, 2) + ("" if price is None else " a million"))]
+    body.append(line("Total", f"{receipt['total_tokens']:,}  {money(receipt['total_cost'])}"))
+    body += [line("Seconds", f"{receipt['duration_seconds']:.2f}")] if receipt.get("duration_seconds") else []
+    return "\n".join(["=" * width, *head, "-" * width, *body, "=" * width])
 
 
 def directory_status(files: DataFrame) -> DataFrame:

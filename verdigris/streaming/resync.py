@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import catalog as cat
@@ -19,11 +18,14 @@ def resync(spark: SparkSession, changes: DataFrame, catalog_dir: str, checkpoint
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        before = Path(catalog_dir) / f"v={number - 1}"
-        old = spark.read.schema(cat.CATALOG).parquet(str(before)) if before.exists() else spark.createDataFrame([], cat.CATALOG)
-        docs = batch.dropDuplicates(["doc_id"])
+        before = spark._jvm.org.apache.hadoop.fs.Path(f"{catalog_dir}/v={number - 1}")
+        known = before.getFileSystem(spark._jsc.hadoopConfiguration()).exists(before)
+        old = spark.read.parquet(f"{catalog_dir}/v={number - 1}") if known else spark.createDataFrame([], cat.CATALOG)
+        # Of several changes of a document the latest counts: by version if there is one, else the greatest text.
+        latest = F.max_by("text", "version") if "version" in batch.columns else F.max("text")
+        docs = batch.groupBy("doc_id").agg(latest.alias("text"))
         mine = old.join(docs.select("doc_id"), "doc_id", "left_semi")
         rest = old.join(docs.select("doc_id"), "doc_id", "left_anti")
-        cat.reordered(cat.sync(blocks(docs), mine)).unionByName(rest).write.mode("overwrite").parquet(f"{catalog_dir}/v={number}")
+        cat.reordered(cat.sync(blocks(docs), mine)).unionByName(cat.commented(rest)).write.mode("overwrite").parquet(f"{catalog_dir}/v={number}")
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
