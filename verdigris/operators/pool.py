@@ -75,10 +75,12 @@ def references(candidates: DataFrame, seed: DataFrame, k: int = MAX_REFERENCES)
     def run(asked: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         pairs = pairs.sort_values("ord")
         pool = Pool(list(zip(pairs["src"], pairs["tgt"])))
-        rows = [(d, at, q, src, tgt, score, n) for d, at, q in zip(asked["doc_id"], asked["ord"], asked["msgid"]) for n, (score, src, tgt) in enumerate(pool.similar(q, k), 1)]
+        rows = [(d, at, q, src, tgt, score, n) for d, at, q in zip(asked["doc_id"], asked["at"], asked["query"]) for n, (score, src, tgt) in enumerate(pool.similar(q, k), 1)]
         return pd.DataFrame(rows, columns=["doc_id", "at", "query", "src", "tgt", "score", "rank"])
 
-    left, right = candidates.select("doc_id", "ord", "msgid"), seed.select("doc_id", "ord", "src", "tgt")
+    # Both sides may come from one table: a column that they share by origin would reach only one side.
+    left = candidates.select("doc_id", F.col("ord").alias("at"), F.col("msgid").alias("query"))
+    right = seed.select("doc_id", "ord", "src", "tgt")
     return left.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(run, "doc_id long, at int, query string, src string, tgt string, score double, rank int")
 
 

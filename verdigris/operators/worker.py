@@ -186,7 +186,7 @@ class Document:
 
 
 def document_worker(rules: Rules, langs: list[str] | None = None, glossaries: dict[str, dict[str, str | None]] | None = None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """For cogrouped (entries, pool) of a document: entries are (doc_id, ord, msgctxt, msgid, langs); pool rows are
+    """For cogrouped (entries, pool) of a document: entries are (doc_id, at, msgctxt, msgid, langs); pool rows are
     (doc_id, ord, lang, src, tgt), or a glossary of the document's own as JSON in src where tgt is null."""
     own = langs or [rules.prompt.lang]
 
@@ -200,7 +200,7 @@ def document_worker(rules: Rules, langs: list[str] | None = None, glossaries: di
                 terms[lang] = json.loads(src)
         pairs = pool[pool["tgt"].notna()]
         pools = {lang: Pool([(s, t) for s, t, x in zip(pairs["src"], pairs["tgt"], pairs["lang"]) if x == lang]) for lang in own}
-        asked = asked.sort_values("ord", kind="stable")
+        asked = asked.sort_values("at", kind="stable")
         rows = Document(rules, langs, terms, pools).run(asked.to_dict("records"))
         return pd.DataFrame(rows, columns=_NAMES)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,10 +60,10 @@ def section_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLUG_SQL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '-', 'g'), '-')"
 
 
-@query(f"WITH s AS (SELECT doc_id, {_SLUG_SQL.format('left(text, 60)')} AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM s")
-def heading_slugs(spark: SparkSession, sf_dir: str, text: str = "left(text, 60)") -> DataFrame:
-    """Slug of a heading made of a document's first 60 characters."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.expr(text)).alias("slug"))
+@query(f"WITH s AS (SELECT doc_id, {_SLUG_SQL.format('text')} AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM s")
+def heading_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slug of a heading made of a document's text."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @query(f"{BASE} SELECT doc_id, path || '::' || type || ':' || idx AS context_id, split_part(split_part(msgctxt, '::', 1), '/', 1) AS section, regexp_extract(msgctxt, '::([^:]*):', 1) AS kind FROM b1")
@@ -200,7 +199,7 @@ def estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.estimate(cat.pending(corpus.synced(spark, sf_dir))).select("doc_id", *big("pending", "chars", "batches", "input_tokens", "output_tokens"))
 
 
-@query(f"{BASE} SELECT c.doc_id, c.ord::BIGINT AS at, COUNT(*)::BIGINT AS visible FROM c1 c JOIN c1 p ON c.doc_id = p.doc_id AND p.ord < c.ord AND p.msgid <> c.msgid WHERE c.msgstr = '' AND p.msgstr <> '' GROUP BY ALL")
+@query(f"{BASE} SELECT c.doc_id, c.ord::BIGINT AS at, COUNT(*)::BIGINT AS visible FROM c1 c JOIN c1 p ON c.doc_id = p.doc_id AND p.msgid <> c.msgid WHERE c.msgstr = '' AND p.msgstr <> '' GROUP BY ALL")
 def pool_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus.first_catalog(spark, sf_dir)
     return pool.visible(cat.pending(c), cat.pool_seed(c)).groupBy("doc_id", F.col("at").cast("long").alias("at")).agg(F.count("*").alias("visible"))
@@ -259,14 +258,14 @@ def ancestor_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, text LIKE '%the%' AS has_term, replace(replace(left(text, 200), 'the', '⟦P:0⟧'), '⟦P:0⟧', CASE lang WHEN 'de' THEN 'das' WHEN 'fr' THEN 'le' ELSE 'the' END) AS decoded FROM documents"""
+    """SELECT doc_id, text LIKE '%the%' AS has_term, replace(replace(text, 'the', '⟦P:0⟧'), '⟦P:0⟧', CASE lang WHEN 'de' THEN 'das' WHEN 'fr' THEN 'le' ELSE 'the' END) AS decoded FROM documents"""
 )
-def glossary_stamp(spark: SparkSession, sf_dir: str, text: str = "left(text, 200)") -> DataFrame:
+def glossary_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A term's token is decoded to the language's form, or to the term itself."""
     docs = table(spark, sf_dir, "documents")
     entry = F.struct(F.lit("⟦P:0⟧").alias("token"), F.lit("the").alias("original"), F.lit("glossary").alias("pattern_name"), F.lit(None).cast("string").alias("replacement"))
     forms = F.when(F.col("lang") == "de", F.create_map(F.lit("the"), F.lit("das"))).when(F.col("lang") == "fr", F.create_map(F.lit("the"), F.lit("le"))).otherwise(F.create_map(F.lit("the"), F.lit(None).cast("string")))
-    stamped = F.replace(F.expr(text), F.lit("the"), F.lit("⟦P:0⟧"))
+    stamped = F.replace(F.col("text"), F.lit("the"), F.lit("⟦P:0⟧"))
     return docs.select("doc_id", F.contains("text", F.lit("the")).alias("has_term"), placeholders.decode(stamped, placeholders.stamped(F.array(entry), forms)).alias("decoded"))
 
 
@@ -303,20 +302,20 @@ def tag_signature_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Languages and validation.
 
-_MIX = "CASE doc_id % 5 WHEN 0 THEN left(text, 80) WHEN 1 THEN '비밀번호 ' || left(text, 10) WHEN 2 THEN '漢字かな ' || left(text, 3) WHEN 3 THEN '12 34 !' ELSE '한글 漢字' END"
+_MIX = "CASE doc_id % 5 WHEN 1 THEN '비밀번호 ' || text WHEN 2 THEN '漢字かな ' || text WHEN 3 THEN '12 34 ! ' || text WHEN 4 THEN '한글 漢字 ' || text ELSE text END"
 _EN, _JA, _KO, _ZH = "[A-Za-z]", r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}]", r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}]", r"[\x{4E00}-\x{9FFF}]"
 
 
-def _mixed(spark: SparkSession, sf_dir: str, mix: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(mix).alias("t"))
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_MIX).alias("t"))
 
 
 @query(
     f"""WITH m AS (SELECT doc_id, {_MIX} AS t FROM documents)
 SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, '{_EN}') THEN 'en' END, CASE WHEN regexp_matches(t, '{_JA}') THEN 'ja' END, CASE WHEN regexp_matches(t, '{_KO}') THEN 'ko' END, CASE WHEN regexp_matches(t, '{_ZH}') THEN 'zh' END) AS languages FROM m"""
 )
-def language_detect(spark: SparkSession, sf_dir: str, mix: str = _MIX) -> DataFrame:
-    return _mixed(spark, sf_dir, mix).select("doc_id", F.array_join(tx.languages(F.col("t")), ",").alias("languages"))
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("doc_id", F.array_join(tx.languages(F.col("t")), ",").alias("languages"))
 
 
 @query(
@@ -324,19 +323,19 @@ def language_detect(spark: SparkSession, sf_dir: str, mix: str = _MIX) -> DataFr
 c AS (SELECT doc_id, len(regexp_extract_all(t, '{_EN}')) AS l, len(regexp_extract_all(t, '{_JA}')) + len(regexp_extract_all(t, '{_ZH}')) AS j, len(regexp_extract_all(t, '{_KO}')) AS k FROM m)
 SELECT doc_id, CASE WHEN GREATEST(l, j, k) = 0 THEN NULL WHEN j >= GREATEST(l, k) THEN 'cjk' WHEN k >= l THEN 'korean' ELSE 'latin' END AS family FROM c"""
 )
-def dominant_script(spark: SparkSession, sf_dir: str, mix: str = _MIX) -> DataFrame:
-    return _mixed(spark, sf_dir, mix).select("doc_id", tx.dominant_family(F.col("t")).alias("family"))
+def dominant_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("doc_id", tx.dominant_family(F.col("t")).alias("family"))
 
 
 _PROSE_SQL = "len(list_intersect(regexp_extract_all(lower({0}), '[a-z]+'), [" + ", ".join(f"'{w}'" for w in tx.PROSE) + "])) > 0"
 
 
-@query(f"SELECT doc_id, {_PROSE_SQL.format('left(text, 40)')} AS prose FROM documents")
-def english_prose(spark: SparkSession, sf_dir: str, text: str = "left(text, 40)") -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.english_prose(F.expr(text)).alias("prose"))
+@query(f"SELECT doc_id, {_PROSE_SQL.format('text')} AS prose FROM documents")
+def english_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.english_prose(F.col("text")).alias("prose"))
 
 
-_SOURCE = "'## ' || left(replace({t}, {nl}, ' '), 30) || ' `a` API'"
+_SOURCE = "'## ' || replace({t}, {nl}, ' ') || ' `a` API'"
 _OUTPUT = "CASE doc_id % 5 WHEN 0 THEN {s} WHEN 1 THEN '### 섹션 `a` API' WHEN 2 THEN '## 섹션 없음' WHEN 3 THEN '## ' || left(source, 2) || ' `a` API' ELSE '## 섹션 `a` API' || {nl} || '```' END"
 
 
@@ -348,8 +347,8 @@ SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 1 THEN 'heading_level' END,
   CASE WHEN NOT regexp_matches(o, '{_KO}') AND (o <> s OR {_PROSE_SQL.format('s')}) THEN 'target_language' END,
   CASE WHEN doc_id % 5 = 2 THEN 'inline_code_count' END) AS issues FROM o"""
 )
-def validate_checks(spark: SparkSession, sf_dir: str, source: str = _SOURCE) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("s", F.expr(source.format(t="text", nl="char(10)"))).withColumn("o", F.expr(_OUTPUT.format(s="s", nl="char(10)")))
+def validate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("s", F.expr(_SOURCE.format(t="text", nl="char(10)"))).withColumn("o", F.expr(_OUTPUT.format(s="s", nl="char(10)")))
     found = tx.issues(F.col("s"), F.col("o"), F.lit("ko-KR"), F.lit(True), F.lit(False), F.array(F.lit("API")))
     return docs.select("doc_id", F.array_join(found, ",").alias("issues"))
 
@@ -361,9 +360,9 @@ c AS (SELECT doc_id, regexp_matches(t, '{_EN}') AS l, regexp_matches(t, '{_JA}|{
 SELECT doc_id, (l OR j OR k) AND (l2 OR j2 OR k2) AND ((l2 AND NOT l) OR (j2 AND NOT j) OR (k2 AND NOT k)
   OR NOT CASE WHEN nj >= GREATEST(nl, nk) THEN j2 WHEN nk >= nl THEN k2 ELSE l2 END) AS unstable FROM c"""
 )
-def language_stability(spark: SparkSession, sf_dir: str, mix: str = _MIX) -> DataFrame:
+def language_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.expr("CASE doc_id % 4 WHEN 0 THEN t WHEN 1 THEN '한글만' WHEN 2 THEN 'latin' ELSE t || ' 漢' END")
-    return _mixed(spark, sf_dir, mix).select("doc_id", tx.unstable(F.col("t"), o).alias("unstable"))
+    return _mixed(spark, sf_dir).select("doc_id", tx.unstable(F.col("t"), o).alias("unstable"))
 
 
 _RAW = """CASE doc_id % 4 WHEN 0 THEN '{{"a": "' || source || '"}}' WHEN 1 THEN '```json' || {nl} || '{{"a": "' || source || '"}}' || {nl} || '```' WHEN 2 THEN 'Sure! {{"a": "' || source || '"}} Done.' ELSE 'no json' END"""
@@ -423,16 +422,19 @@ def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAME_SQL = r"""regexp_replace(regexp_replace(regexp_replace(trim(nfc_normalize({0})), '\s+', '-', 'g'), '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '-+', '-', 'g')"""
-_RESERVED = r"regexp_replace(trim(n, '-. '), '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)', '\1_\2')"
-_TITLE = "CASE WHEN doc_id % 9 = 0 THEN 'nul' WHEN doc_id % 9 = 1 THEN '??' ELSE left(text, 24) || '?' END"
+_RESERVED = r"regexp_replace(trim({0}, '-. '), '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)', '\1_\2')"
+_TITLE = "CASE WHEN doc_id % 9 = 0 THEN 'nul' WHEN doc_id % 9 = 1 THEN '??' ELSE text || '?' END"
+_RAW_SEGMENT = "CASE WHEN doc_id % 2 = 0 THEN '??' ELSE source END"
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, {_NAME_SQL.format(_TITLE)} AS n, source FROM documents), u AS (SELECT doc_id, source, {_RESERVED} AS s FROM t)
-SELECT doc_id, CASE WHEN s = '' THEN 'segment-' || left(sha1(source), 8) ELSE s END AS name FROM u"""
+    f"""WITH t AS (SELECT doc_id, {_NAME_SQL.format(_TITLE)} AS n, {_NAME_SQL.format('raw')} AS r, raw FROM (SELECT *, {_RAW_SEGMENT} AS raw FROM documents)),
+u AS (SELECT doc_id, raw, {_RESERVED.format('n')} AS s, {_RESERVED.format('r')} AS own FROM t)
+SELECT doc_id, COALESCE(NULLIF(s, ''), NULLIF(own, ''), 'segment-' || left(sha1(raw), 8)) AS name FROM u"""
 )
-def path_slug(spark: SparkSession, sf_dir: str, title: str = _TITLE) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", paths.segment_name(F.expr(title), F.col("source")).alias("name"))
+def path_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of translated segments; where the translation leaves nothing, of the segments themselves, or a hash."""
+    return table(spark, sf_dir, "documents").select("doc_id", paths.segment_name(F.expr(_TITLE), F.expr(_RAW_SEGMENT)).alias("name"))
 
 
 @query(
@@ -476,25 +478,3 @@ def translate_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     todo = cat.pending(corpus.synced(spark, sf_dir))
     groups = batching.section_groups(todo).select("doc_id", "msgctxt", "group_no").join(todo.select("doc_id", "msgctxt", "ord", "msgid"), ["doc_id", "msgctxt"])
     return translate.translated(groups, translate.echo, translate.echo_one).select("doc_id", "msgctxt", "answer")
-
-
-# Whole texts: the queries above whose SQL takes prefixes, with the same SQL on all of each text.
-
-_WHOLE_MIX = "CASE doc_id % 5 WHEN 1 THEN '비밀번호 ' || text WHEN 2 THEN '漢字かな ' || text WHEN 3 THEN '12 34 ! ' || text WHEN 4 THEN '한글 漢字 ' || text ELSE text END"
-_WHOLE_SOURCE = _SOURCE.replace("left(replace({t}, {nl}, ' '), 30)", "replace({t}, {nl}, ' ')")
-
-
-def whole(name: str, old: str, new: str, **bounds: str) -> None:
-    if old not in ORACLES[name]:
-        raise ValueError(f"{name} has no {old}")
-    QUERIES[f"{name}_whole"] = partial(QUERIES[name], **bounds)
-    ORACLES[f"{name}_whole"] = ORACLES[name].replace(old, new)
-
-
-whole("heading_slugs", "left(text, 60)", "text", text="text")
-whole("glossary_stamp", "left(text, 200)", "text", text="text")
-whole("english_prose", "left(text, 40)", "text", text="text")
-whole("path_slug", "left(text, 24)", "text", title=_TITLE.replace("left(text, 24)", "text"))
-whole("validate_checks", _SOURCE.format(t="text", nl="chr(10)"), _WHOLE_SOURCE.format(t="text", nl="chr(10)"), source=_WHOLE_SOURCE)
-for _name in ("language_detect", "dominant_script", "language_stability"):
-    whole(_name, _MIX, _WHOLE_MIX, mix=_WHOLE_MIX)
