@@ -22,6 +22,11 @@ PROSE = (
 TOKEN = r"\x{27E6}P:(\d+)\x{27E7}"
 
 
+def language_names(text: str) -> list[str]:
+    """Languages of a comma-separated list in its order, without blanks and repeats."""
+    return list(dict.fromkeys(x.strip() for x in text.split(",") if x.strip()))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")

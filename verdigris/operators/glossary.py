@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def levels(spark: SparkSession, files: dict[str, str | None]) -> DataFrame:
     return spark.createDataFrame([r for folder, raw in files.items() for r in level_rows(folder, raw)], LEVELS)
 
 
+def levels_of(files: DataFrame) -> DataFrame:
+    """Levels of all glossary files (rel_path, text) of a tree; unreadable ones give none."""
+
+    def run(parts):
+        for pdf in parts:
+            found = [r for path, raw in zip(pdf["rel_path"], pdf["text"]) for r in level_rows(path.rpartition("/")[0], raw)]
+            yield pd.DataFrame(found, columns=["dir", "term", "kind", "scalar", "by_locale"])
+
+    return files.select("rel_path", "text").mapInPandas(run, LEVELS)
+
+
 def ancestors(folder: Column) -> Column:
     """The folder and all above it, the root ('') first."""
     parts = F.filter(F.split(folder, "/"), lambda x: x != "")

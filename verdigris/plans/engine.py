@@ -6,10 +6,10 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import batching, glossary, placeholders, translate, usage
+from ..operators import batching, glossary, paths, placeholders, translate, usage
 from ..operators import catalog as cat
 from ..operators.pool import MAX_REFERENCES
 from ..operators.prompts import Prompt
@@ -218,20 +218,60 @@ def run_multi(docs: DataFrame, catalog: DataFrame, batch: translate.BatchCall, l
     return out.catalog.select("lang", *cat.COLUMNS)
 
 
-def directory_glossaries(files: DataFrame, levels: DataFrame, locale: str, *overrides: dict) -> DataFrame:
+def directory_glossaries(files: DataFrame, levels: DataFrame, locale: str, above: tuple | list = (), below: tuple | list = ()) -> DataFrame:
     """(rel_path, glossary): the terms in force for each file, as a map for one locale.
 
-    Overrides, the folder that a run starts in, a named file and inline terms, in that order, come after the folders
-    from the root down to the file's own.
+    The folders from the root of files down to the file's own come after those of below, which lie outside of it, and
+    before those of above: the folder that a run starts in, a named file, inline terms.
     """
     spark = files.sparkSession
-    depth = 1 << 20
-    rows = [r for k, o in enumerate(overrides) for r in [(depth + k, *x[1:]) for x in glossary.level_rows("", json.dumps(o))]]
+    levels_ = [(k - len(below), o) for k, o in enumerate(below)] + [((1 << 20) + k, o) for k, o in enumerate(above)]
+    rows = [(depth, *x[1:]) for depth, o in levels_ for x in glossary.level_rows("", json.dumps(o))]
     extra = spark.createDataFrame(rows, glossary.LEVELS.replace("dir string", "depth int")) if rows else None
     terms = glossary.resolved(glossary.cascaded(files, levels, extra), F.lit(locale))
     return terms.groupBy("rel_path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "replacement")))).alias("glossary"))
 
 
+def glossary_of(levels: list[str], named: dict | None, locale: str) -> dict[str, str | None]:
+    """The same for one file, on the driver: glossary texts from the outermost folder inwards, then named terms."""
+    merged: dict[str, object] = {}
+    for raw in [*levels, json.dumps(named or {})]:
+        for _, term, kind, scalar, forms in glossary.level_rows("", raw):
+            held = merged.get(term)
+            if kind == "remove":
+                merged.pop(term, None)
+            elif kind == "locales":
+                merged[term] = {**held, **forms} if isinstance(held, dict) else forms
+            else:
+                merged[term] = scalar
+    return {t: v.get(locale) if isinstance(v, dict) else v for t, v in merged.items()}
+
+
+#: Segments of paths that one worker takes: names are short, and each is asked for once.
+PATH_GROUP = 400
+
+
+def translated_paths(files: DataFrame, known: DataFrame, config: Config, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Result]:
+    """(map of src to tgt, catalog of segments, what was asked) for files (rel_path) and known (segment, msgstr, fuzzy).
+
+    Segments that the catalog lacks go to the model in groups of about PATH_GROUP; no check is made of them. Segments
+    that no file has any more stay in the catalog.
+    """
+    here = paths.segments(files)
+    all_ = settled(paths.synced(here, known))
+    lacking = all_.where("msgstr = '' OR fuzzy").join(here.select("segment"), "segment", "left_semi")
+    groups = max(1, -(-lacking.count() // PATH_GROUP))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("msgid"))
+    todo = lacking.select(F.pmod(F.xxhash64("segment"), F.lit(groups)).alias("doc_id"), F.concat(F.lit("path::segment::"), "segment").alias("msgctxt"), F.col("segment").alias("msgid"), F.array(F.lit(config.target_lang)).alias("langs")).withColumn("ord", place)
+    done = all_.where("msgstr <> '' AND NOT fuzzy").select(F.pmod(F.xxhash64("segment"), F.lit(groups)).alias("doc_id"), F.lit(0).alias("ord"), F.lit(config.target_lang).alias("lang"), F.col("segment").alias("src"), F.col("msgstr").alias("tgt"))
+    rules = replace(config, validation="off", placeholders=None).rules()
+    answers = _asked(todo, done, rules, None, {config.target_lang: config.glossary or {}})
+    given = answers.where("NOT failed AND answer IS NOT NULL").select(F.col("source").alias("segment"), "answer")
+    after = settled(all_.join(given, "segment", "left").select("segment", F.coalesce("answer", "msgstr").alias("msgstr"), (F.col("fuzzy") & F.col("answer").isNull()).alias("fuzzy")))
+    slugs = after.select("segment", paths.segment_name(F.col("msgstr"), F.col("segment")).alias("slug"))
+    return paths.mapped(files, slugs, previous), after, Result(files, after, answers, after)
+
+
 def named_glossary(file: dict | None, inline: dict | None, locale: str) -> dict[str, str | None]:
     """Terms of a named file and inline ones over them, for one locale; remove marks in the file do nothing."""
     out: dict[str, str | None] = {}
