@@ -30,6 +30,8 @@ SPAN, DECAY = 8, 0.45
 LANDMARKS = 256
 #: So many neighbouring strings at most are also scored as one.
 WINDOW = 4
+#: Bytes of text that are scored at once, few enough for the arrays to stay in a core's cache; no value depends on it.
+SCORED_BYTES = 1 << 18
 #: Bounds of the labelled sample, of each class: the documents with the smallest hashes of doc_id.
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 ROUNDS = 5
@@ -146,11 +148,9 @@ def scores(out: np.ndarray, begin: np.ndarray, machine: np.ndarray) -> np.ndarra
     return value
 
 
-def joined(code: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, machine: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of runs of 2 to WINDOW neighbouring strings of a row, where the value is positive.
-
-    With a floor for each row, runs that can't be the row's highest value beyond it are left out.
-    """
+def _joins(code: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, machine: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Row, start, end and raw value of runs of more than least, up to WINDOW, neighbouring strings of a row, where that
+    is positive, and what their value can be at most."""
     n = len(start)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     final = at[1:][row] - 1
@@ -159,67 +159,86 @@ def joined(code: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray,
     some = code[where] > 0
     own, where = own[some], where[some]
     padded = np.append(code, np.zeros(SPAN, code.dtype)).astype(np.int32)
-    x = [padded[where] << 12, *(padded[where + k] for k in range(1, SPAN))]
-    room = [(end[np.minimum(np.arange(n) + m, final)][own] - where).astype(np.int32) for m in range(WINDOW)]
-    sums = [np.zeros(len(where), np.float32) for _ in range(WINDOW)]
-    squares = [np.zeros(len(where), np.float32) for _ in range(WINDOW)]
-    letter = [(v > 0).astype(np.float32) for v in x]
-    between = np.zeros(len(where), np.float32)
+    first = padded[where] << 12
+    x = [padded[where + k] for k in range(1, SPAN)]
+    start_with = [first | v << 6 for v in x]
+    # Row b: what the subsequences from a place weigh that span at most b characters.
+    weight, square = np.zeros((SPAN + 1, len(where)), np.float32), np.zeros((SPAN + 1, len(where)), np.float32)
+    between, one, key = np.zeros(len(where), np.float32), np.empty(len(where), np.float32), np.empty(len(where), np.int32)
     for b in range(2, SPAN):
-        part = np.zeros(len(where), np.float32)
+        part = weight[b + 1]
         for a in range(1, b):
-            part += machine[x[0] | x[a] << 6 | x[b]]
+            np.bitwise_or(start_with[a - 1], x[b - 1], out=key)
+            np.take(machine, key, out=one, mode="clip")
+            part += one
         part *= np.float32(DECAY ** (b + 1))
-        between = between + letter[b - 1]
-        square = between * letter[b] * np.float32(DECAY ** (2 * b + 2))
-        for m in range(WINDOW):
-            inside = room[m] > b
-            sums[m] += part * inside
-            squares[m] += square * inside
+        part += weight[b]
+        between += x[b - 2] > 0
+        np.multiply(between, x[b - 1] > 0, out=one)
+        one *= np.float32(DECAY ** (2 * b + 2))
+        np.add(square[b], one, out=square[b + 1])
+    del start_with, x, first
+    place = np.arange(len(where))
+    sums, squares = [], []
+    for m in range(WINDOW):
+        room = np.clip(end[np.minimum(np.arange(n) + m, final)][own] - where, 0, SPAN)
+        sums.append(np.bincount(own, weight[room, place], n))
+        squares.append(np.bincount(own, square[room, place], n))
     # Each string's subsequences that end within the string itself, the next one, and so on.
-    sums, squares = [np.bincount(own, v, n) for v in sums], [np.bincount(own, v, n) for v in squares]
     found = []
-    for m in range(1, WINDOW):
+    for m in range(least, WINDOW):
         k = np.flatnonzero(np.arange(n) + m <= final)
         raw = sum(sums[m - j][k + j] for j in range(m + 1))
         # Equal subsequences add up before they are squared, so the norm is no less than this.
-        least = np.sqrt(sum(squares[m - j][k + j] for j in range(m + 1)))
+        norm = np.sqrt(sum(squares[m - j][k + j] for j in range(m + 1)))
         up = raw > 1e-9
-        found.append((row[k[up]], start[k[up]], end[k[up] + m], raw[up], 1.001 * raw[up] / np.maximum(least[up], 1e-9)))
-    of, lo, hi, raw, most = (np.concatenate(v) for v in zip(*found))
+        found.append((row[k[up]], start[k[up]], end[k[up] + m], raw[up], 1.001 * raw[up] / np.maximum(norm[up], 1e-9)))
+    return tuple(np.concatenate(v) for v in zip(*found))
 
-    def values(which: np.ndarray) -> np.ndarray:
-        out, begin, _, same = distinct(code, lo[which], hi[which])
-        size, norm = np.diff(np.append(begin, len(out) - _PAD)) - _PAD, np.zeros(len(begin))
-        for first in range(0, len(begin), 4096):
-            some = np.arange(first, min(first + 4096, len(begin)))
-            norm[some] = norms(*_selected(out, begin, size, some))
-        return raw[which] / np.maximum(norm[same], 1e-9)
 
+def _values(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    out, begin, _, same = distinct(code, lo, hi)
+    size, norm = np.diff(np.append(begin, len(out) - _PAD)) - _PAD, np.zeros(len(begin))
+    for first in range(0, len(begin), 4096):
+        some = np.arange(first, min(first + 4096, len(begin)))
+        norm[some] = norms(*_selected(out, begin, size, some))
+    return raw / np.maximum(norm[same], 1e-9)
+
+
+def _raised(best: np.ndarray, code: np.ndarray, of: np.ndarray, lo: np.ndarray, hi: np.ndarray, raw: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Each row's highest value of its runs, or what it had if that is higher.
+
+    Norms take most of the time, so they are found only of runs that a bound can't rule out: each row's likeliest run
+    raises the bar for its others, twice, then all that are left are looked at.
+    """
+    best = best.copy()
+    left = np.flatnonzero(most > best[of])
+    for _ in range(2):
+        bound = np.zeros(len(best))
+        np.maximum.at(bound, of[left], most[left])
+        top = left[most[left] == bound[of[left]]]
+        np.maximum.at(best, of[top], _values(code, lo[top], hi[top], raw[top]))
+        left = left[(most[left] > best[of[left]]) & (most[left] < bound[of[left]])]
+    np.maximum.at(best, of[left], _values(code, lo[left], hi[left], raw[left]))
+    return best
+
+
+def joined(code: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, machine: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of runs of 2 to WINDOW neighbouring strings of a row, where the value is positive.
+
+    With a floor for each row, only each row's highest value, at least its floor.
+    """
+    of, lo, hi, raw, most = _joins(code, start, end, at, machine, 1)
     if floor is None:
-        return of, values(np.arange(len(of)))
-    left = np.flatnonzero(most > floor[of])
-    left = left[np.lexsort((-most[left], of[left]))]
-    head = np.append(True, of[left][1:] != of[left][:-1])[: len(left)]
-    top = left[head]
-    reached = values(top)
-    floor = floor.copy()
-    floor[of[top]] = np.maximum(floor[of[top]], reached)
-    rest = left[~head]
-    rest = rest[most[rest] > floor[of[rest]]]
-    return np.concatenate([of[top], of[rest]]), np.concatenate([reached, values(rest)])
+        return of, _values(code, lo, hi, raw)
+    return np.arange(len(floor)), _raised(floor, code, of, lo, hi, raw, most)
 
 
 def worst(buf: np.ndarray, off: np.ndarray, machine: np.ndarray) -> np.ndarray:
     """Each row's highest value of a string or of joined ones; 0 for rows without strings."""
     code, start, end, at = strings(buf, off)
-    out, begin, _, which = distinct(code, start, end)
-    value = np.maximum(scores(out, begin, machine), 0)
-    best, full = np.zeros(len(off) - 1), np.flatnonzero(np.diff(at))
-    if full.size:
-        best[full] = np.maximum.reduceat(value[which], at[:-1][full])
-        np.maximum.at(best, *joined(code, start, end, at, machine, best))
-    return best
+    none = np.zeros(len(off) - 1)
+    return _raised(none, code, *_joins(code, start, end, at, machine, 0)) if len(start) else none
 
 
 def _landmarks(rows: np.ndarray, m: int) -> np.ndarray:
@@ -363,10 +382,9 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
         at = np.searchsorted(seen, what)
         known = (at < len(seen)) & (seen[np.minimum(at, len(seen) - 1)] == what)
         kernel = np.zeros((len(use), len(chosen)))
-        for k in range(0, len(chosen), 32):
-            part = marks[k : k + 32, at[known]] * weight[known]
-            for j in range(len(part)):
-                kernel[:, k + j] = np.bincount(who[known], part[j], len(use))
+        in_row, column, by = who[known], at[known], weight[known]
+        for k in range(len(chosen)):
+            kernel[:, k] = np.bincount(in_row, marks[k][column] * by, len(use))
         e, u = np.linalg.eigh((marks @ marks.T).astype(float) + 1e-3 * np.eye(len(chosen)))
         root = u / np.sqrt(np.maximum(e, 1e-6)) @ u.T
         z = kernel @ root
@@ -383,7 +401,7 @@ def train(texts: list[str | None], labels: np.ndarray, landmarks: int = LANDMARK
         threshold = _cutoff(best, toxic)
         bar = max(threshold, 1e-6)
     if np.isfinite(threshold):
-        whole = [worst(part, off, machine) for _, _, part, off in text_slices(pa.array(texts, pa.string()), 1 << 20)]
+        whole = [worst(part, off, machine) for _, _, part, off in text_slices(pa.array(texts, pa.string()), SCORED_BYTES)]
         threshold = _cutoff(np.concatenate(whole), toxic)
     return machine, threshold
 
@@ -412,7 +430,7 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(machine: np.ndarray, threshold: float, columns: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, off in text_slices(batch.column("text")):
+            for lo, hi, buf, off in text_slices(batch.column("text"), SCORED_BYTES):
                 value = worst(buf, off, machine)
                 if columns:
                     yield batch.slice(lo, hi - lo).filter(pa.array(~(value > threshold)))
