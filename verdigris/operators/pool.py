@@ -79,7 +79,7 @@ def references(candidates: DataFrame, seed: DataFrame, k: int = MAX_REFERENCES)
         return pd.DataFrame(rows, columns=["doc_id", "at", "query", "src", "tgt", "score", "rank"])
 
     # Both sides may come from one table: a column that they share by origin would reach only one side.
-    left = candidates.select("doc_id", F.col("ord").alias("at"), F.col("msgid").alias("query"))
+    left = candidates.select(F.col("doc_id").alias("doc_id"), F.col("ord").alias("at"), F.col("msgid").alias("query"))
     right = seed.select("doc_id", "ord", "src", "tgt")
     return left.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(run, "doc_id long, at int, query string, src string, tgt string, score double, rank int")
 

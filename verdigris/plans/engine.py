@@ -118,7 +118,7 @@ def _pool(now: DataFrame, config: Config, lang: str, glossaries: DataFrame | Non
 def _asked(todo: DataFrame, pool: DataFrame, rules: Rules, langs: list[str] | None, terms: dict | None) -> DataFrame:
     work = document_worker(rules, langs, terms)
     # Both sides come from one table: a column that they share by origin would reach only one side.
-    todo = todo.select("doc_id", F.col("ord").alias("at"), "msgctxt", F.col("msgid").alias("msgid"), "langs")
+    todo = todo.select(F.col("doc_id").alias("doc_id"), F.col("ord").alias("at"), "msgctxt", F.col("msgid").alias("msgid"), "langs")
     return settled(todo.groupBy("doc_id").cogroup(pool.groupBy("doc_id")).applyInPandas(work, ANSWERS))
 
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """(rel_path, doc_id, text) of all files below root; line ends become newlines. doc_id hashes the relative path."""
+    """(rel_path, doc_id, text) of all files below root; line ends become newlines. doc_id hashes the relative path.
+
+    Files of no bytes have no row: Spark's listing leaves them out.
+    """
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     base = "file:" + str(Path(root).resolve()) if "://" not in root else root.rstrip("/")
     path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/"))

@@ -147,6 +147,6 @@ def write_catalogs(catalog: DataFrame, raw: DataFrame, root: str, language: str
         return pd.DataFrame([(files["path"].iloc[0], dumps(rows_, head))], columns=["rel_path", "text"])
 
     columns = [F.col(c).alias(c) for c in ("ord", "msgctxt", "msgid", "msgstr", "fuzzy", "obsolete", "tcomment")]
-    files = raw.select("doc_id", F.col("rel_path").alias("path"), F.col("raw").alias("old"))
+    files = raw.select(F.col("doc_id").alias("doc_id"), F.col("rel_path").alias("path"), F.col("raw").alias("old"))
     made = catalog.select("doc_id", *columns).groupBy("doc_id").cogroup(files.groupBy("doc_id")).applyInPandas(run, "rel_path string, text string")
     documents.write(made, root)
