@@ -129,7 +129,7 @@ def carried(old: DataFrame, new: DataFrame) -> DataFrame:
     """New entries with the fuzzy flag and comment of the old entry that has the same text: nth occurrence to nth."""
     nth = F.row_number().over(Window.partitionBy("doc_id", "msgid").orderBy("ord"))
     left = commented(new).withColumn("nth", nth)
-    right = commented(old).where("msgid <> ''").withColumn("nth", nth).select("doc_id", "msgid", "nth", F.col("fuzzy").alias("was_fuzzy"), F.col("tcomment").alias("had"))
+    right = commented(old).withColumn("nth", nth).select("doc_id", "msgid", "nth", F.col("fuzzy").alias("was_fuzzy"), F.col("tcomment").alias("had"))
     both = left.join(right, ["doc_id", "msgid", "nth"], "left")
     return both.withColumns({"fuzzy": F.col("fuzzy") | F.coalesce("was_fuzzy", F.lit(False)), "tcomment": F.coalesce("had", "tcomment")}).drop("was_fuzzy", "had")
 
