@@ -1,6 +1,7 @@
 import json
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +315,13 @@ def test_stream_keeps_the_catalog_in_step(spark, tmp_path):
     send("2", [(1, "# A\n\ntwo")])
     rows = spark.read.schema(cat.CATALOG).parquet(str(tmp_path / "catalog" / "v=1")).collect()
     assert {(r["doc_id"], r["msgid"], r["fuzzy"]) for r in rows} == {(1, "# A", False), (1, "two", True), (2, "# B", False)}
+
+
+def test_blocks_leave_the_worker_in_small_batches():
+    from verdigris.operators.segment import OUT_CHARS, _segment, text_blocks
+
+    text = "\n\n".join(f"line {k} " + "x" * 5000 for k in range(100))
+    given = pa.record_batch([pa.array(range(40)), pa.array([text] * 38 + [None, ""])], names=["doc_id", "text"])
+    made = list(_segment(iter([given, given]), None, text_blocks))
+    assert max(sum(map(len, b.column("text").to_pylist())) for b in made) <= OUT_CHARS + 6000
+    assert [(d, s) for b in made for d, s in zip(b.column("doc_id").to_pylist(), b.column("seq").to_pylist())] == [(d, s) for d in range(38) for s in range(100)] * 2
