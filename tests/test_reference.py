@@ -325,3 +325,20 @@ def test_blocks_leave_the_worker_in_small_batches():
     made = list(_segment(iter([given, given]), None, text_blocks))
     assert max(sum(map(len, b.column("text").to_pylist())) for b in made) <= OUT_CHARS + 6000
     assert [(d, s) for b in made for d, s in zip(b.column("doc_id").to_pylist(), b.column("seq").to_pylist())] == [(d, s) for d in range(38) for s in range(100)] * 2
+
+
+def test_only_texts_that_composition_may_change_reach_python(spark, monkeypatch, tmp_path):
+    import unicodedata
+
+    texts = [None, "", "abc", "caf\u00e9 \u02ff", "cafe\u0301", "\u1112\u1161\u11ab", "\u212b x", "a\u0323\u0302", "\ud55c\uae00", "\U0001f600 e\u0300"]
+
+    def seen(text):
+        if text is not None:
+            with open(tmp_path / "seen", "a", encoding="utf-8") as f:
+                f.write(text + "\n")
+        return None if text is None else unicodedata.normalize("NFC", text)
+
+    monkeypatch.setattr(paths, "_nfc", seen)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string").select("id", paths.nfc(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in sorted(rows)] == [t and unicodedata.normalize("NFC", t) for t in texts]
+    assert set((tmp_path / "seen").read_text(encoding="utf-8").split("\n")) - {""} == {t for t in texts if t and max(t) >= "\u0300"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from pathlib import Path
 
 import pandas as pd
@@ -14,12 +15,16 @@ from ..sources.storage import settled
 
 
 def nfc(text: Column) -> Column:
-    """Unicode composition, which has no SQL function."""
-    return F.pandas_udf(_nfc, "string")(text)
+    """Unicode composition, which has no SQL function.
+
+    Texts of characters below U+0300 alone are composed as they are and stay in the JVM; the others go to Python, which
+    takes a few rows of whole texts at a time here, not an Arrow batch of thousands.
+    """
+    return F.coalesce(F.udf(_nfc, "string", useArrow=False)(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
 
 
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFC")
+def _nfc(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFC", text)
 
 
 def segments(files: DataFrame) -> DataFrame:
