@@ -342,3 +342,35 @@ def test_only_texts_that_composition_may_change_reach_python(spark, monkeypatch,
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string").select("id", paths.nfc(F.col("t")).alias("n")).collect()
     assert [r["n"] for r in sorted(rows)] == [t and unicodedata.normalize("NFC", t) for t in texts]
     assert set((tmp_path / "seen").read_text(encoding="utf-8").split("\n")) - {""} == {t for t in texts if t and max(t) >= "\u0300"}
+
+
+def test_similar_pairs_are_those_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    from verdigris.operators.ratio import Text
+
+    rng = random.Random(7)
+    words = ["the", "of", "river", "Ünder", "quick", "zebra", "a", "translation", "e\u0301", "\U0001f600", "한글", "x", "jump"]
+
+    def line(most: int) -> str:
+        text = " ".join(rng.choices(words, k=rng.randrange(most)))
+        return text if rng.random() < 0.7 else "".join(rng.choices("ab c", k=len(text)))
+
+    def near(text: str) -> str:
+        at = rng.randrange(len(text) + 1)
+        return text[:at] + rng.choice(["", "q", "the river"]) + text[at + rng.randrange(9) :]
+
+    for most in (3, 12, 40, 90, 300):
+        texts = [line(most) for _ in range(14)]
+        texts += [near(t) for t in texts[:8]] + texts[:4] + ["", "x" * 199, "x" * 200, "ab" * 120]
+        made = pool.Pool([(t, f"[{k}]") for k, t in enumerate(texts)])
+        for n, query in enumerate([*texts[:6], near(texts[7]), line(most), ""]):
+            ratio = {t: SequenceMatcher(None, query, t).ratio() for t in set(texts)}
+            for t in set(texts):
+                if query or t:
+                    assert 2.0 * Text(t).matched(query, 0) / (len(query) + len(t)) == ratio[t]
+            want = sorted(((ratio[t], -k) for k, t in enumerate(made.pairs) for t in [t[0]] if t != query), reverse=True)[:5]
+            assert made.similar(query) == [(s, *made.pairs[-k]) for s, k in want]
+            made.add(near(query), f"[new {n}]")
+            texts.append(made.pairs[-1][0])
