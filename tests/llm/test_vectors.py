@@ -122,3 +122,30 @@ def test_windows_alone_find_what_lies_near_few_dimensions(spark):
     found = curve_neighbours.nearest(frame(spark, enumerate(x.astype(np.float32).tolist())), windows_only=True).collect()
     hits = sum(r["neighbour_id"] in np.argsort(-s[r["vec_id"]])[:10] for r in found)
     assert hits / (120 * 10) >= 0.9
+
+
+def test_what_travels_doesnt_grow_with_the_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(cover_tree, "LEAST_GROUPS", 4)
+    rows = spark.sparkContext.accumulator(0)
+    meet = cover_tree._meet
+
+    def counted(threshold):
+        run = meet(threshold)
+
+        def count(t):
+            rows.add(t.num_rows)
+            return run(t)
+
+        return count
+
+    monkeypatch.setattr(cover_tree, "_meet", counted)
+    got = {r["vec_id"]: r for r in cover_tree.linked_embeddings(table, 0.4, 16).collect()}
+    linked = x @ x.T >= 0.4
+    np.fill_diagonal(linked, False)
+    assert {k: r["n_links"] for k, r in got.items()} == dict(enumerate(linked.sum(axis=1).tolist()))
+    # 40 parts and more, which all meet: each vector goes to 4 pairs of groups.
+    assert rows.value <= 600 * 4
