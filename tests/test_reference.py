@@ -374,3 +374,18 @@ def test_similar_pairs_are_those_of_difflib():
             assert made.similar(query) == [(s, *made.pairs[-k]) for s, k in want]
             made.add(near(query), f"[new {n}]")
             texts.append(made.pairs[-1][0])
+
+
+def test_rebuilt_counts_lines_as_the_blocks_do(spark):
+    texts = ["a\x0cb\n\nc\n", "a\r\n\r\nb\rc\r\r\nd", "# t\x85\nx \n\ny z\n\n---\n\nend", "\x1c\n\np\x1dq\x1e\x0b\n\nr\x00s", "a\n\n\nb\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = blocks(docs)
+    done = found.where("text <> 'c'").select("doc_id", F.col("seq").alias("ord"), "msgctxt", F.col("text").alias("msgid"), F.concat(F.lit("T "), "text").alias("msgstr"), F.lit(False).alias("fuzzy"), F.lit(False).alias("obsolete"))
+    got = {r["doc_id"]: r["text"] for r in cat.rebuilt(found, done, docs).collect()}
+    for k, text in enumerate(texts):
+        lines = text.splitlines(keepends=True)
+        at, want = 0, ""
+        for b in segment([x.rstrip("\n") for x in lines]):
+            own = "".join(lines[b["start"] : b["end"]]) if b["type"] == "hr" or b["text"] == "c" else f"T {b['text']}\n"
+            want, at = want + "".join(lines[at : b["start"]]) + own, b["end"]
+        assert got[k] == want + "".join(lines[at:])

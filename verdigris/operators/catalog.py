@@ -16,6 +16,9 @@ SKIP_TYPES = ("hr",)
 COLUMNS = ["doc_id", "ord", "msgctxt", "msgid", "msgstr", "fuzzy", "obsolete"]
 CATALOG = "doc_id long, ord int, msgctxt string, msgid string, msgstr string, fuzzy boolean, obsolete boolean"
 
+#: What ends a line for str.splitlines, and so in the line numbers of text_blocks.
+LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+
 
 def translatable(msgctxt: Column) -> Column:
     return ~block_type(msgctxt).isin(*SKIP_TYPES)
@@ -105,17 +108,17 @@ def coverage(blocks: DataFrame, catalog: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("pct", F.when(F.col("translatable") > 0, F.round(100.0 * F.col("translated") / F.col("translatable"), 6)).otherwise(0.0))
 
 
-def rebuilt(blocks: DataFrame, catalog: DataFrame, docs: DataFrame) -> DataFrame:
+def rebuilt(blocks: DataFrame, catalog: DataFrame, docs: DataFrame, ends: str = LINE_ENDS) -> DataFrame:
     """(doc_id, text): documents with each translated block in place of its lines; gaps and skipped blocks verbatim.
 
     A translated block ends in a newline even at the end of the document, as all its lines do. Fuzzy translations are
-    used. Null texts stay null.
+    used. Null texts stay null. ends are the characters that end a line in the blocks' line numbers.
     """
     entries = catalog.where("NOT obsolete").select("doc_id", "msgctxt", "msgstr")
     new = blocks.join(entries, ["doc_id", "msgctxt"], "left").where(translatable(F.col("msgctxt")) & (F.coalesce("msgstr", F.lit("")) != ""))
     edits = new.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "msgstr"))).alias("edits"))
     joined = docs.select("doc_id", "text").join(edits, "doc_id", "left")
-    lines = F.expr(r"regexp_extract_all(text, '[^\n]*\n|[^\n]+$', 0)")
+    lines = F.regexp_extract_all("text", F.lit(rf"[^{ends}]*(?:\r\n|[{ends}])|[^{ends}]+"), F.lit(0))
     # Each edit gives the lines before it and its own text; all are put together once.
     out = F.expr(
         """array_join(concat(
