@@ -21,7 +21,8 @@ LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 
 
 def translatable(msgctxt: Column) -> Column:
-    return ~block_type(msgctxt).isin(*SKIP_TYPES)
+    """Whether an entry is of no skipped type; one without a context id is of none."""
+    return F.coalesce(~block_type(msgctxt).isin(*SKIP_TYPES), F.lit(True))
 
 
 def commented(catalog: DataFrame) -> DataFrame:
