@@ -21,8 +21,9 @@ LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 
 
 def translatable(msgctxt: Column) -> Column:
-    """Whether an entry is of no skipped type; one without a context id is of none."""
-    return F.coalesce(~block_type(msgctxt).isin(*SKIP_TYPES), F.lit(True))
+    """Whether an entry is of no skipped type; one without a context id is of none, nor one that ends in another type's number."""
+    other = msgctxt.rlike(rf"::(?!(?:{'|'.join(SKIP_TYPES)}):)[a-z]+:[0-9]+$")
+    return F.coalesce(~block_type(msgctxt).isin(*SKIP_TYPES) | other, F.lit(True))
 
 
 def commented(catalog: DataFrame) -> DataFrame:
